@@ -21,4 +21,46 @@ SELECT conv_id, count(*) AS n_turns,
 FROM marked GROUP BY conv_id
 """
 
-SQL = {"op3_chat_formatting": OP3}
+_WORD = r"[^\x20\x09-\x0D]+"
+_BOILERPLATE = "all rights reserved|click here|cookie policy|enable javascript|privacy policy|sign up for our newsletter|share this article|skip to content|subscribe to our newsletter|terms of service|use cookies"
+
+OP2 = rf"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS row FROM documents),
+worded AS (SELECT *, regexp_extract_all(text, '{_WORD}') AS words FROM docs),
+windows AS (
+  SELECT row, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS w
+  FROM (SELECT row, words, unnest(range(1, len(words) - 1)) AS i FROM worded)
+), again AS (
+  SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY row, w) AS n FROM windows) WHERE n > 1
+), repeated AS (
+  SELECT row, count(DISTINCT j) AS n FROM (SELECT row, unnest(range(i, i + 3)) AS j FROM again) GROUP BY row
+), lines AS (
+  SELECT DISTINCT row, line FROM (SELECT row, unnest(string_split(text, chr(10))) AS line FROM docs)
+  WHERE regexp_matches(line, '{_WORD}')
+), n_lines AS (
+  SELECT row, count(*) AS n FROM (SELECT row, unnest(string_split(text, chr(10))) AS line FROM docs)
+  WHERE regexp_matches(line, '{_WORD}') GROUP BY row
+), judged AS (
+  SELECT row, length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS chars,
+    len(regexp_extract_all(line, '{_WORD}')) AS words, length(regexp_replace(line, '[^|]', '', 'g')) AS bars,
+    length(regexp_replace(line, '[^#*$%&<>]', '', 'g')) AS symbols, length(regexp_replace(line, '[^!]', '', 'g')) AS shouts,
+    regexp_matches(lower(line), '{_BOILERPLATE}') AS boilerplate
+  FROM lines
+), per_doc AS (
+  SELECT row, count(*) AS n_once, sum(CASE WHEN (bars >= 3 AND 3 * bars >= words) OR (symbols >= 3 AND symbols > words)
+    OR (shouts >= 6 AND shouts > words) OR (boilerplate AND words <= 25) THEN 0 ELSE chars END) AS kept_chars
+  FROM judged GROUP BY row
+), counted AS (
+  SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words,
+    CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(l.n - p.n_once, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words,
+    coalesce(p.kept_chars, 0) AS kept_chars
+  FROM worded d LEFT JOIN repeated r USING (row) LEFT JOIN n_lines l USING (row) LEFT JOIN per_doc p USING (row)
+), failed AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND 100 * (word_chars - kept_chars) <= 40 * word_chars AS kept
+FROM failed
+"""
+
+SQL = {"op2_quality_rules": OP2, "op3_chat_formatting": OP3}
