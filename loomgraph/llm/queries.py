@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, chat, mixing, quality, sharding
+from loomgraph.llm import bpe, chat, mixing, quality, sharding, toxicity
 from loomgraph.llm.common import table
 
 #: Conversation -1 of op3: control strings as texts.
@@ -44,3 +44,14 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clean(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, part = table(spark, sf_dir, "documents"), toxicity.remainder(3)
+    lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"), part != 1)
+    return toxicity.score(docs, lexicon).select(
+        "doc_id",
+        (part == 1).alias("held_out"),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
