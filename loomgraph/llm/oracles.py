@@ -63,4 +63,24 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM failed
 """
 
-SQL = {"op2_quality_rules": OP2, "op3_chat_formatting": OP3}
+OP1 = rf"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM worded WHERE len(w) >= 3)
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM worded WHERE len(w) BETWEEN 1 AND 2
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * both >= 85 * (x.n + y.n - both)
+), reached(root, node) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION SELECT r.root, CASE WHEN l.a = r.node THEN l.b ELSE l.a END FROM reached r JOIN links l ON r.node IN (l.a, l.b)
+), least AS (SELECT root AS doc_id, min(node) AS component_id FROM reached GROUP BY root)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, l.component_id, l.component_id = d.doc_id AS kept
+FROM documents d JOIN least l USING (doc_id) LEFT JOIN sizes s USING (doc_id)
+"""
+
+SQL = {"op1_minhash_near_dedup": OP1, "op2_quality_rules": OP2, "op3_chat_formatting": OP3}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, chat, language, mixing, quality, sharding, toxicity
+from loomgraph.llm import bpe, chat, language, mixing, neardup, quality, sharding, toxicity
 from loomgraph.llm.common import table
 
 #: Conversation -1 of op3: control strings as texts.
@@ -61,3 +61,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, part = table(spark, sf_dir, "documents"), toxicity.remainder(4)
     found = language.identify(docs, language.learn(docs, part != 2))
     return found.select("doc_id", (part == 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
