@@ -173,17 +173,38 @@ def _shipped(df: DataFrame, path: str):
 
 
 def encode(docs: DataFrame, keep: list[str] | None = None, path: str = VOCABULARY) -> DataFrame:
-    """docs with token_ids array<int>."""
+    """keep (doc_id) with token_ids array<int>, n_tokens and decoded_sha256, of the bytes that the ids decode to."""
     ranks = _shipped(docs, path)
 
     def make():
         bpe = _encoder(path, ranks.value)
-        return lambda texts: [pa.array(bpe.encode([x or "" for x in texts.to_pylist()]), pa.list_(pa.int32()))]
 
-    fields = [T.StructField("token_ids", T.ArrayType(T.IntegerType()))]
+        def of(texts: pa.Array) -> list[pa.Array]:
+            made = bpe.encode_and_decode([x or "" for x in texts.to_pylist()])
+            ids = [list(map(int, x.split(","))) if x else [] for x, _ in made]
+            return [pa.array(ids, pa.list_(pa.int32())), pa.array(list(map(len, ids)), pa.int64()), pa.array([hashlib.sha256(raw).hexdigest() for _, raw in made], pa.string())]
+
+        return of
+
+    fields = [T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("decoded_sha256", T.StringType())]
     return by_batches(docs, fields, make, keep or ["doc_id"], rows=32)
 
 
+def decode(encoded: DataFrame, keep: list[str] | None = None, path: str = VOCABULARY) -> DataFrame:
+    """keep (doc_id) and decoded string of token_ids; bytes that are no UTF-8 become U+FFFD; null ids give null."""
+    ranks = _shipped(encoded, path)
+    keep = keep or ["doc_id"]
+
+    def run(batches):
+        bpe = _encoder(path, ranks.value)
+        for batch in batches:
+            texts = [None if ids is None else bpe.decode(ids).decode(errors="replace") for ids in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*keep, "decoded"])
+
+    given = encoded.select(*keep, "token_ids")
+    return given.mapInArrow(run, T.StructType([*(given.schema[c] for c in keep), T.StructField("decoded", T.StringType())]))
+
+
 def digests(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """doc_id, n_tokens, sha256 of the ids and of the bytes that they decode to."""
     ranks = _shipped(docs, path)
@@ -203,23 +224,3 @@ def digests(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     return by_batches(docs, fields, make, ["doc_id"], rows=32)
-
-
-def round_trip(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """docs (columns and order unchanged) with each text encoded and decoded again; a null text stays null."""
-    ranks = _shipped(docs, path)
-    rest = [c for c in docs.columns if c != "text"]
-
-    def make():
-        bpe = _encoder(path, ranks.value)
-
-        def of(texts: pa.Array) -> list[pa.Array]:
-            given = texts.to_pylist()
-            made = bpe.encode_and_decode([x or "" for x in given])
-            back = [None if x is None else raw.decode() for x, (_, raw) in zip(given, made, strict=True)]
-            return [pa.array(back, pa.string()), pa.array([ids.count(",") + 1 if ids else 0 for ids, _ in made], pa.int64())]
-
-        return of
-
-    fields = [T.StructField("text", T.StringType()), T.StructField("n_tokens", T.LongType())]
-    return by_batches(docs, fields, make, rest, rows=32)

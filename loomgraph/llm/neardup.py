@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from loomgraph.llm.common import by_batches, written
 from loomgraph.llm.components import components
@@ -375,3 +376,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     joined = known.withColumn("__linked", linked).join(members, same, "left")
     component = F.when(F.col("__linked"), F.col("component_id")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one document of each group of near-duplicates; columns as they are.
+
+    Rows that share a doc_id are one document: the one with the smallest text
+    hash stays. Rows without doc_id stay.
+    """
+    kept = near_duplicates(docs, words, percent).where(F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__kept")).distinct()
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64(F.col("text").cast("string")))
+    named = docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi").withColumn("__row", F.row_number().over(first))
+    return named.where("__row = 1").drop("__row").unionByName(docs.where(F.col("doc_id").isNull()))
