@@ -83,4 +83,21 @@ SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, l.component_id, l.component_id
 FROM documents d JOIN least l USING (doc_id) LEFT JOIN sizes s USING (doc_id)
 """
 
-SQL = {"op1_minhash_near_dedup": OP1, "op2_quality_rules": OP2, "op3_chat_formatting": OP3}
+OP6 = """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id < b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93
+), both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached(root, node) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.root, l.b FROM reached r JOIN both_ways l ON r.node = l.a
+), least AS (SELECT root, min(node) AS component_id FROM reached GROUP BY root),
+degrees AS (SELECT a, count(*) AS n FROM both_ways GROUP BY a)
+SELECT e.vec_id, coalesce(d.n, 0) AS n_links, l.component_id, l.component_id = e.vec_id AS kept
+FROM embeddings e JOIN least l ON l.root = e.vec_id LEFT JOIN degrees d ON d.a = e.vec_id
+"""
+
+SQL = {"op6_embedding_near_dedup": OP6, "op1_minhash_near_dedup": OP1, "op2_quality_rules": OP2, "op3_chat_formatting": OP3}

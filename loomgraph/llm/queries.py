@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, chat, language, mixing, neardup, quality, sharding, toxicity
+from loomgraph.llm import bpe, chat, language, lattice, mixing, neardup, quality, sharding, toxicity
 from loomgraph.llm.common import table
 
 #: Conversation -1 of op3: control strings as texts.
@@ -65,3 +65,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_vectors(table(spark, sf_dir, "embeddings"), 0.93)
