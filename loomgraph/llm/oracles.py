@@ -100,4 +100,50 @@ SELECT e.vec_id, coalesce(d.n, 0) AS n_links, l.component_id, l.component_id = e
 FROM embeddings e JOIN least l ON l.root = e.vec_id LEFT JOIN degrees d ON d.a = e.vec_id
 """
 
-SQL = {"op6_embedding_near_dedup": OP6, "op1_minhash_near_dedup": OP1, "op2_quality_rules": OP2, "op3_chat_formatting": OP3}
+_TEMPLATES = (
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted. BSD 3-Clause License."),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License, CC BY 4.0."),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("LGPL-2.1", "This library is free software under the GNU Lesser General Public License, version 2.1."),
+    ("MIT", "Released under the MIT License."),
+    ("MPL-2.0", "This file is subject to the terms of the Mozilla Public License, version 2.0."),
+    ("Proprietary", "All rights reserved."),
+)
+
+OP5 = f"""
+WITH templates(license, statement) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in _TEMPLATES)}),
+tf AS (
+  SELECT license, token, count(*) AS tf FROM (SELECT license, unnest(regexp_extract_all(lower(statement), '[a-z0-9]+')) AS token FROM templates) GROUP BY 1, 2
+), idf AS (SELECT token, ln((1 + {float(len(_TEMPLATES))}) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY token),
+template AS (
+  SELECT license, token, tf * idf / sqrt(sum((tf * idf) * (tf * idf)) OVER (PARTITION BY license)) AS weight FROM tf JOIN idf USING (token)
+), files AS (
+  SELECT doc_id, coalesce(source, '') || '/' || coalesce(lang, '') AS dir, coalesce(source, '') || '/' || coalesce(lang, '') || '/' || doc_id || '.txt' AS path, text FROM documents
+), lines AS (
+  SELECT doc_id, no, string_split(text, chr(10))[no] AS line, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS n_tokens
+  FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS no FROM files)
+), passages AS (
+  SELECT *, regexp_extract_all(lower(line), '[a-z0-9]+') AS words FROM lines
+  WHERE regexp_matches(lower(line), 'licen[sc]e|copyright|rights reserved|spdx|public domain|redistribution')
+), counted AS (
+  SELECT doc_id, no, token, count(*) AS tf FROM (SELECT doc_id, no, unnest(words) AS token FROM passages) GROUP BY 1, 2, 3
+), weighed AS (SELECT doc_id, no, token, tf * coalesce(idf, ln(1.0 + {len(_TEMPLATES)}) + 1) AS raw FROM counted LEFT JOIN idf USING (token)),
+norms AS (SELECT doc_id, no, sqrt(sum(raw * raw)) AS norm FROM weighed GROUP BY 1, 2),
+alike AS (
+  SELECT doc_id, no, license, round(sum(raw * weight) / any_value(norm), 6) AS similarity
+  FROM weighed JOIN template USING (token) JOIN norms USING (doc_id, no) GROUP BY 1, 2, 3
+), best AS (
+  SELECT doc_id, no, license, similarity FROM alike WHERE similarity >= 0.7 QUALIFY row_number() OVER (PARTITION BY doc_id, no ORDER BY similarity DESC, license) = 1
+), own AS (
+  SELECT doc_id, arg_min(license, (-similarity, license)) AS license, max(similarity) AS similarity, 2 * sum(len(words)) >= any_value(n_tokens) AS is_file
+  FROM best JOIN passages USING (doc_id, no) GROUP BY doc_id
+), held AS (SELECT f.doc_id, f.dir, f.path, o.license, o.similarity, o.is_file FROM files f LEFT JOIN own o USING (doc_id)),
+by_dir AS (SELECT dir, license FROM held WHERE is_file QUALIFY row_number() OVER (PARTITION BY dir ORDER BY similarity DESC, path) = 1)
+SELECT h.doc_id, h.license, h.similarity, CASE WHEN h.license IS NULL THEN d.license END AS inherited_license,
+  CASE WHEN h.license IS NULL THEN d.dir END AS inherited_from
+FROM held h LEFT JOIN by_dir d USING (dir)
+"""
+
+SQL = {"op5_license_scan": OP5, "op6_embedding_near_dedup": OP6, "op1_minhash_near_dedup": OP1, "op2_quality_rules": OP2, "op3_chat_formatting": OP3}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, chat, language, lattice, mixing, neardup, quality, sharding, toxicity
+from loomgraph.llm import bpe, chat, language, lattice, licenses, mixing, neardup, quality, sharding, toxicity
 from loomgraph.llm.common import table
 
 #: Conversation -1 of op3: control strings as texts.
@@ -69,3 +69,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_vectors(table(spark, sf_dir, "embeddings"), 0.93)
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files SOURCE/LANG/DOC_ID.txt."""
+    path = F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.coalesce("lang", F.lit("")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row"), path.alias("path"), "text")
+    return licenses.scan(files).withColumnRenamed("row", "doc_id")
