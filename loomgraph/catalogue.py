@@ -1,9 +1,232 @@
-"""Queries over the star-schema tables, one per operator, with their SQL."""
+"""Queries over the star-schema tables, one or more for each operator, with their SQL."""
+
+from __future__ import annotations
+
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomgraph.functions import codec
+from loomgraph.operators import bags, dictionary, index
+from loomgraph.plans import compiler, sparql
+from loomgraph.results import rows
+from loomgraph.sources import rdf
+from loomgraph.sources.mapping import mapping_sql, triples
+from loomgraph.sources.store import Store
+
+#: Pattern queries: name -> text. Terms of the mapping are relative IRIs, predicates have an empty prefix.
+PATTERNS = {
+    "leaf_bound": "SELECT ?x WHERE { ?x <ofNation> <nation/7> }",
+    "leaf_unbound": "SELECT ?x WHERE { ?x <hasPart> ?y }",
+    "edge_join": "SELECT ?x WHERE { ?x <placedBy> ?c . ?c <segment> <segment/BUILDING> }",
+    "star_bound": "SELECT ?x WHERE { ?x <ofNation> <nation/7> ; <segment> <segment/BUILDING> }",
+    "path3": "SELECT ?x WHERE { ?x <placedBy> ?c . ?c <ofNation> ?n . ?n <inRegion> <region/2> }",
+    "two_unbound": "SELECT ?x WHERE { ?x <hasPart> ?a ; <suppliedBy> ?b ; <priority> <priority/1-URGENT> }",
+    "two_branches": "SELECT ?x WHERE { ?x <hasPart> ?p . ?p <brand> <brand/Brand#2> . ?x <suppliedBy> ?s . ?s <ofNation> <nation/3> }",
+    "unknown_term": "SELECT ?x WHERE { ?x <ofNation> <nation/none> }",
+    "count_tree": "SELECT (COUNT(?x) AS ?n) WHERE { ?x <hasPart> ?p . ?p <brand> <brand/Brand#2> . ?x <suppliedBy> ?s . ?s <ofNation> <nation/3> }",
+    "count_empty": "SELECT (COUNT(?x) AS ?n) WHERE { ?x <ofNation> <nation/none> }",
+    "ignored_component": "SELECT ?x WHERE { ?x <ofNation> <nation/7> . ?y <inRegion> <region/2> }",
+    "fresh_objects": "SELECT ?x WHERE { ?x <ofNation> ?z . ?y <hasPart> ?z . ?x <segment> ?z }",
+}
+#: Those with the multiplicities of SPARQL.
+PRODUCTS = ("two_unbound", "two_branches", "count_tree")
+SHARED_LEAF = "SELECT ?x WHERE { ?x <hasPart> ?z ; <suppliedBy> ?w . ?x <hasPart> ?z }"
+
+
+def pattern(spark: SparkSession, sf_dir: str, text: str, semantics: str = "reference") -> DataFrame:
+    return compiler.answer(triples(spark, sf_dir), sparql.parse(text), semantics)
+
+
+def _literal(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return compiler.literal_bindings(triples(spark, sf_dir), sparql.parse(PATTERNS[name]).root).withColumnRenamed("id", "x")
+
+
+def _edges(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
+    return triples(spark, sf_dir).where(F.col("p").isin(*names))
+
+
+def load_ntriples_uri_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = "http://example.org/tpch#"
+    given = _edges(spark, sf_dir, "inRegion", "ofNation", "brand")
+    iris = rdf.lines(given.select(*[F.concat(F.lit(base), F.replace(F.col(c), F.lit("#"), F.lit("-"))).alias(c) for c in "spo"]))
+    others = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+        F.explode(F.array(
+            F.format_string('<%scustomer/%s> <%sname> "%s"@en .', F.lit(base), F.col("c_custkey").cast("string"), F.lit(base), F.col("c_name")),
+            F.format_string('<%scustomer/%s> <%snote> "an \\"<%siri>\\" . inside" . # comment', F.lit(base), F.col("c_custkey").cast("string"), F.lit(base), F.lit(base)),
+            F.format_string("<%scustomer/%s> <%sknows> _:b1 .", F.lit(base), F.col("c_custkey").cast("string"), F.lit(base)),
+            F.format_string("_:b1 <%sknows> <%scustomer/%s> .", F.lit(base), F.lit(base), F.col("c_custkey").cast("string")),
+            F.lit("# a comment"),
+        )).alias("value")
+    )
+    parsed = rdf.parse_lines(iris.unionAll(others))
+    return parsed.where("s_kind = 'iri' AND o_kind = 'iri'").select("s", "p", "o")
+
+
+def answer_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = _edges(spark, sf_dir, "placedBy", "ofNation", "inRegion")
+    return Store.build(given).query(PATTERNS["path3"])
+
+
+def code_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dictionary.ranked(dictionary.subject_object_counts(triples(spark, sf_dir)))
+
+
+def encode_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Store.build(_edges(spark, sf_dir, "ofNation", "segment", "brand")).decoded()
+
+
+def huffman_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = dictionary.huffman(dictionary.subject_object_counts(triples(spark, sf_dir)))
+    return coded.agg(F.sum(F.col("freq") * F.col("bits")).cast("long").alias("total_bits"), F.max("bits").alias("depth"), F.count(F.lit(1)).alias("terms"))
+
+
+def _numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select((F.col("o_orderkey") * 7 % 16384).cast("long").alias("v"))
+
+
+def varint_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = spark.read.parquet(f"{sf_dir}/orders.parquet").select((F.col("o_orderkey") * 104729 % 1073741824).cast("long").alias("v"))
+    twice = keys.withColumn("h", F.concat(codec.varint_hex(F.col("v")), codec.varint_hex(F.lit(5).cast("long"))))
+    return twice.select("v", codec.varint_value(F.col("h")).cast("long").alias("decoded"), codec.varint_value(codec.varint_rest(F.col("h"))).cast("long").alias("rest"))
+
+
+def merge_max_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = _merged_sides(spark, sf_dir)
+    return bags.union_rows(a, b)
+
+
+def bag_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = _merged_sides(spark, sf_dir)
+    return bags.intersect_rows(a, b)
+
+
+def _merged_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_linenumber", F.concat(F.lit("order/"), F.col("l_orderkey").cast("string")).alias("s"), F.lit("hasPart").alias("p"), F.concat(F.lit("part/"), (F.col("l_partkey") % 50).cast("string")).alias("o"))
+    return items.where("l_linenumber <= 4").drop("l_linenumber"), items.where("l_linenumber >= 3").drop("l_linenumber")
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return [lines.where(F.col("l_linenumber") == k).select(F.col("l_partkey").alias("v")) for k in (1, 2, 3)]
+
+
+def batch_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    requests = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.lit("ofNation").alias("p"), F.concat(F.lit("nation/"), (F.col("n_nationkey") * 2).cast("string")).alias("o"))
+    return bags.lookup(requests, triples(spark, sf_dir).where("p = 'ofNation'"))
+
+
+def common_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return part.select("p_partkey", codec.common_prefix_len(F.col("p_name"), F.col("p_type")).cast("long").alias("with_type"), codec.common_prefix_len(F.col("p_brand"), F.lit("Brand#1x")).cast("long").alias("with_brand"))
+
+
+def iri_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.col("c_name")
+    term = F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("ub:"), name)).when(F.col("c_custkey") % 4 == 1, F.concat(F.lit("?"), name)).when(F.col("c_custkey") % 4 == 2, F.lit("a")).otherwise(name)
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", codec.expand_iri(term, {"ub": UB}).alias("iri"))
+
+
+UB = "http://swat.cse.lehigh.edu/onto/univ-bench.owl#"
+
+
+def posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.posting_lists(_edges(spark, sf_dir, "ofNation", "brand")).select("p", "o", F.array_join("subjects", ",").alias("subjects"))
+
+
+def nested_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = index.nested(_edges(spark, sf_dir, "ofNation", "brand", "inRegion"))
+    return made.select("p", F.size("objects").cast("long").alias("n_objects"), F.aggregate("objects", F.lit(0).cast("long"), lambda n, x: n + F.size(x["subjects"])).alias("n_statements"))
+
+
+def exists_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bag = compiler.bindings(triples(spark, sf_dir), sparql.parse(PATTERNS["star_bound"]).root)
+    return bags.exists(bag, "customer/nobody").select(F.lit("customer/nobody").alias("who"), "found")
+
+
+def result_xml_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows(pattern(spark, sf_dir, PATTERNS["two_branches"]))
 
 
 def queries() -> dict:
-    return {}
+    found = {name: partial(pattern, text=text) for name, text in PATTERNS.items()}
+    found |= {f"{name}_sparql": partial(pattern, text=PATTERNS[name], semantics="sparql") for name in PRODUCTS}
+    found |= {"shared_leaf_sparql": partial(pattern, text=SHARED_LEAF, semantics="sparql"), "two_unbound_literal": partial(_literal, name="two_unbound")}
+    found |= {
+        "scan_triples": triples,
+        "scan_ordered": lambda spark, d: index.ordered(triples(spark, d)),
+        "term_freq_so": lambda spark, d: dictionary.subject_object_counts(triples(spark, d)),
+        "term_freq_p": lambda spark, d: dictionary.predicate_counts(triples(spark, d)),
+        "dictionary_size": lambda spark, d: dictionary.subject_object_counts(triples(spark, d)).agg(F.count(F.lit(1)).alias("n_terms")),
+        "index_levels": lambda spark, d: index.level_sizes(triples(spark, d)),
+        "varint_len": lambda spark, d: _numbers(spark, d).select("v", (codec.varint_extra(F.col("v")) + 1).cast("int").alias("n_bytes")),
+        "varint_hex": lambda spark, d: _numbers(spark, d).select("v", codec.varint_hex(F.col("v")).alias("encoded")),
+        "kway_merge": lambda spark, d: bags.merge_runs(_runs(spark, d), "v"),
+        "sort_codes": lambda spark, d: spark.read.parquet(f"{d}/lineitem.parquet").select("l_partkey").orderBy("l_partkey"),
+        "rdf_statement_kinds": lambda spark, d: rdf.by_kind(rdf.parse_lines(spark.read.parquet(f"{d}/supplier.parquet").select(F.explode(F.array(F.format_string("<u:s%s> <u:p> <u:o> .", F.col("s_suppkey").cast("string")), F.format_string('<u:s%s> <u:p> "x" .', F.col("s_suppkey").cast("string")), F.lit("_:a <u:p> <u:o> ."))).alias("value")))),
+    }
+    for f in (load_ntriples_uri_filter, answer_decoded, code_rank, encode_roundtrip, huffman_cost, varint_roundtrip, merge_max_union, bag_intersect, batch_lookup, common_prefix, iri_expand, posting_lists, nested_index, exists_subject, result_xml_rows):
+        found[f.__name__] = f
+    return found
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    t = f"WITH t AS ({mapping_sql()}) "
+    some = lambda *names: t.replace("WITH t AS (", "WITH every AS (")[:-1] + f", t AS (SELECT * FROM every WHERE p IN ({', '.join(repr(n) for n in names)})) "
+    edge = lambda p, o=None: f"SELECT s AS x FROM t WHERE p = '{p}'" + (f" AND o = '{o}'" if o else "")
+    path3 = "SELECT a.s AS x FROM t a JOIN t b ON a.o = b.s JOIN t c ON b.o = c.s WHERE a.p = 'placedBy' AND b.p = 'ofNation' AND c.p = 'inRegion' AND c.o = 'region/2'"
+    by_brand = "SELECT a.s AS x FROM t a JOIN t b ON a.o = b.s WHERE a.p = 'hasPart' AND b.p = 'brand' AND b.o = 'brand/Brand#2'"
+    by_nation = "SELECT a.s AS x FROM t a JOIN t b ON a.o = b.s WHERE a.p = 'suppliedBy' AND b.p = 'ofNation' AND b.o = 'nation/3'"
+    two_unbound = f"({edge('hasPart')} INTERSECT ALL {edge('suppliedBy')}) INTERSECT ALL {edge('priority', 'priority/1-URGENT')}"
+    two_branches = f"{by_brand} INTERSECT ALL {by_nation}"
+    times = f"SELECT u.x FROM ({by_brand}) u JOIN ({by_nation}) v ON u.x = v.x"
+    freq = "SELECT term, count(*) AS freq FROM (SELECT s AS term FROM t UNION ALL SELECT o FROM t) GROUP BY term"
+    number = "(o_orderkey * 7) % 16384"
+    sides = """WITH i AS (SELECT l_linenumber, 'order/' || l_orderkey AS s, 'hasPart' AS p, 'part/' || (l_partkey % 50) AS o FROM lineitem),
+        a AS (SELECT s, p, o FROM i WHERE l_linenumber <= 4), b AS (SELECT s, p, o FROM i WHERE l_linenumber >= 3) """
+    prefix = lambda a, b: f"(SELECT max(n) FROM range(0, 1 + least(length({a}), length({b}))) r(n) WHERE left({a}, n) = left({b}, n))"
+    return {
+        "scan_triples": mapping_sql(),
+        "scan_ordered": mapping_sql() + " ORDER BY p, o, s",
+        "leaf_bound": t + edge("ofNation", "nation/7"),
+        "leaf_unbound": t + edge("hasPart"),
+        "edge_join": t + "SELECT a.s AS x FROM t a JOIN t b ON a.o = b.s WHERE a.p = 'placedBy' AND b.p = 'segment' AND b.o = 'segment/BUILDING'",
+        "star_bound": t + edge("ofNation", "nation/7") + " INTERSECT ALL " + edge("segment", "segment/BUILDING"),
+        "path3": t + path3,
+        "two_unbound": t + two_unbound,
+        "two_unbound_literal": t + two_unbound,
+        "two_branches": t + two_branches,
+        "unknown_term": t + edge("ofNation", "nation/none"),
+        "count_tree": t + f"SELECT count(*) AS n FROM ({two_branches})",
+        "count_empty": t + f"SELECT count(*) AS n FROM ({edge('ofNation', 'nation/none')})",
+        "ignored_component": t + edge("ofNation", "nation/7"),
+        "fresh_objects": t + edge("ofNation") + " INTERSECT ALL " + edge("segment"),
+        "two_unbound_sparql": t + "SELECT a.s AS x FROM t a JOIN t b ON a.s = b.s JOIN t c ON a.s = c.s WHERE a.p = 'hasPart' AND b.p = 'suppliedBy' AND c.p = 'priority' AND c.o = 'priority/1-URGENT'",
+        "two_branches_sparql": t + times,
+        "count_tree_sparql": t + f"SELECT count(*) AS n FROM ({times})",
+        "shared_leaf_sparql": t + "SELECT a.s AS x FROM t a JOIN t b ON a.s = b.s JOIN t c ON a.s = c.s AND a.o = c.o WHERE a.p = 'hasPart' AND b.p = 'suppliedBy' AND c.p = 'hasPart'",
+        "load_ntriples_uri_filter": some("inRegion", "ofNation", "brand") + "SELECT 'http://example.org/tpch#' || s AS s, 'http://example.org/tpch#' || p AS p, 'http://example.org/tpch#' || replace(o, '#', '-') AS o FROM t",
+        "answer_decoded": t + path3,
+        "term_freq_so": t + freq,
+        "term_freq_p": t + "SELECT p AS term, count(*) AS freq FROM t GROUP BY p",
+        "dictionary_size": t + f"SELECT count(*) AS n_terms FROM ({freq})",
+        "code_rank": t + f"SELECT term, freq, row_number() OVER (ORDER BY freq DESC, term) - 1 AS code FROM ({freq})",
+        "encode_roundtrip": some("ofNation", "segment", "brand") + "SELECT s, p, o FROM t",
+        "index_levels": t + "SELECT count(DISTINCT p) AS predicates, count(DISTINCT (p, o)) AS predicate_objects, count(*) AS statements FROM t",
+        "posting_lists": some("ofNation", "brand") + "SELECT p, o, string_agg(s, ',' ORDER BY s) AS subjects FROM t GROUP BY p, o",
+        "nested_index": some("ofNation", "brand", "inRegion") + "SELECT p, count(DISTINCT o) AS n_objects, count(*) AS n_statements FROM t GROUP BY p",
+        "varint_len": f"SELECT {number} AS v, CAST(CASE WHEN {number} <= 63 THEN 1 ELSE 2 END AS INTEGER) AS n_bytes FROM orders",
+        "varint_hex": f"SELECT {number} AS v, CASE WHEN {number} <= 63 THEN printf('%02X', {number}) ELSE printf('%02X%02X', 64 + ({number} & 63), {number} >> 6) END AS encoded FROM orders",
+        "varint_roundtrip": "SELECT (o_orderkey * 104729) % 1073741824 AS v, (o_orderkey * 104729) % 1073741824 AS decoded, CAST(5 AS BIGINT) AS rest FROM orders",
+        "merge_max_union": sides + "SELECT s, p, o FROM (SELECT *, row_number() OVER (PARTITION BY s, p, o) AS k FROM a UNION SELECT *, row_number() OVER (PARTITION BY s, p, o) AS k FROM b)",
+        "bag_intersect": sides + "SELECT * FROM a INTERSECT ALL SELECT * FROM b",
+        "kway_merge": "SELECT l_partkey AS v FROM lineitem WHERE l_linenumber IN (1, 2, 3) ORDER BY v",
+        "sort_codes": "SELECT l_partkey FROM lineitem ORDER BY l_partkey",
+        "batch_lookup": t + "SELECT t.p, t.o, t.s FROM t JOIN nation ON t.p = 'ofNation' AND t.o = 'nation/' || (n_nationkey * 2)",
+        "common_prefix": f"SELECT p_partkey, CAST({prefix('p_name', 'p_type')} AS BIGINT) AS with_type, CAST({prefix('p_brand', chr(39) + 'Brand#1x' + chr(39))} AS BIGINT) AS with_brand FROM part",
+        "iri_expand": f"SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '{UB}' || c_name WHEN 1 THEN '?' || c_name WHEN 2 THEN 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type' ELSE c_name END AS iri FROM customer",
+        "exists_subject": "SELECT 'customer/nobody' AS who, false AS found",
+        "result_xml_rows": t + f"SELECT '<result><binding name=\"x\"><uri>' || x || '</uri></binding></result>' AS xml FROM ({two_branches})",
+        "rdf_statement_kinds": "SELECT unnest(['iri', 'iri', 'blank']) AS s_kind, unnest(['iri', 'literal', 'iri']) AS o_kind, n FROM (SELECT count(*) AS n FROM supplier)",
+    }
