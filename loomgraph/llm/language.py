@@ -267,7 +267,8 @@ def learn(docs: DataFrame, may_learn: Column) -> Model:
                 tokens = text.split()
                 start = 0 if len(tokens) <= SAMPLE_WORDS else (int(doc) * 7919) % (len(tokens) - SAMPLE_WORDS)
                 runs.append(" ".join(tokens[start : start + SAMPLE_WORDS]))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "run": runs, "lang": batch["lang"]})
+            if runs:
+                yield pd.DataFrame({"doc_id": batch["doc_id"], "run": runs, "lang": batch["lang"]})
 
     chosen = usable.where(place < share).mapInPandas(cut, "doc_id long, run string, lang string").toPandas()
     chosen = chosen.sort_values(["doc_id", "run"], kind="stable")

@@ -101,6 +101,8 @@ class Lexicon:
         return made
 
     def score(self, weight: np.ndarray) -> np.ndarray:
+        if math.isinf(self.level):
+            return np.zeros(len(weight))
         return 1 / (1 + np.exp(-np.clip(self.slope * weight + self.level, -50, 50)))
 
 
@@ -132,7 +134,8 @@ def _counted(sample: DataFrame, terms) -> DataFrame:
             for text, label in zip(batch["text"], batch["toxic"], strict=True):
                 (toxic if label else clean).update(find(fold(text or "")))
         every = list(toxic.keys() | clean.keys())
-        yield pd.DataFrame({"term": every, "toxic": [toxic[t] for t in every], "clean": [clean[t] for t in every]})
+        if every:
+            yield pd.DataFrame({"term": every, "toxic": [toxic[t] for t in every], "clean": [clean[t] for t in every]})
 
     parts = sample.select("text", "toxic").mapInPandas(run, "term string, toxic long, clean long")
     return parts.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
@@ -148,7 +151,8 @@ def _contexts(sample: DataFrame, terms: set[str]) -> dict[str, int]:
                 words = fold(text or "").split()
                 found |= {(t, before) for before, w in zip(["", *words], words, strict=False) for t in _terms(w) & terms}
         pairs = sorted(found)
-        yield pd.DataFrame({"term": [t for t, _ in pairs], "before": [b for _, b in pairs]})
+        if pairs:
+            yield pd.DataFrame({"term": [t for t, _ in pairs], "before": [b for _, b in pairs]})
 
     pairs = sample.select("text").mapInPandas(run, "term string, before string").distinct()
     return {r["term"]: r["n"] for r in pairs.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -203,7 +207,8 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column) -> Lexicon:
     def weigh(batches):
         own = lexicon.automaton()
         for batch in batches:
-            yield pd.DataFrame({"w": [weight_of(fold(t or ""), own) for t in batch["text"]], "y": batch["toxic"].astype("float64")})
+            if len(batch):
+                yield pd.DataFrame({"w": [weight_of(fold(t or ""), own) for t in batch["text"]], "y": batch["toxic"].astype("float64")})
 
     rows = sample.mapInPandas(weigh, "w double, y double").toPandas()
     lexicon.slope, lexicon.level = _logistic(rows["w"].to_numpy(), rows["y"].to_numpy())
