@@ -77,6 +77,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, units: int = UNITS) -> DataFram
             F.crc32(raw).alias("text_crc32"),
             n_words(text).alias("tokens"),
             F.xxhash64(raw).alias("text_key"),
+            F.monotonically_increasing_id().alias("row"),
         )
     )
     groups = base.groupBy("text_key").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n"))
@@ -85,7 +86,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, units: int = UNITS) -> DataFram
     part = F.greatest(*[F.col(c) * float(units) / max(total[c], 1) for c in ("size", "tokens", "n")])
     # each of these holds over one units-th of a total: three times units of them at most
     cut = groups.where((part > 1) & (F.col("n") > 1)).select("text_key", F.ceil(F.least(part, F.col("n").cast("double"))).cast("long").alias("pieces"))
-    spread = F.xxhash64("doc_id", "text_key")
+    # by row, as a group's rows may all have one id
+    spread = F.xxhash64("row", "text_key")
     placed = base.join(F.broadcast(cut), "text_key", "left").withColumn(
         "unit",
         F.when(F.col("pieces").isNull(), F.pmod(F.xxhash64("text_key", F.lit(7)), F.lit(units))).otherwise(
