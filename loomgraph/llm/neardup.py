@@ -1,21 +1,23 @@
 """Near-duplicate documents by chosen-path set similarity join.
 
 A document's set holds the hashes of its distinct shingles, and its signature
-the set's smallest token under each of HASHES hash functions. Documents with
-equal sets are one class, whose smallest id stands for it. Trees of minwise
-tokens are grown over these representatives: in TREES independent trees a root
-branches by two chosen tokens, so a document goes to one child for each; nodes
-of more than LEAF documents branch again, DEPTH times at most. Nodes of LEAF
-documents are compared exhaustively by signature; what is alike enough there
-is confirmed on the full sets. Two documents at the threshold meet in a tree
-with odds of about 0.97, and in none of the trees with less than 1e-7.
-
-Large groups of near copies never meet pair by pair: first each large node is
-linked to its centre, the member that agrees most with the node's most common
-signature. Then nodes whose members all have one component are settled and
-dropped, and in a large node that is left the members of its main component
-are compared with the others only, in chunks. Where those others are more than
-LEAF even at the last level, chunks are compared with chunks, which is exact.
+the set's smallest token under each of HASHES hash functions; its sketch is one
+byte of each of these. Documents with equal sets are one class, whose smallest
+id stands for it. Trees of minwise tokens are grown over these representatives:
+in TREES independent trees a root has BRANCHES paths of two chosen tokens, so a
+document goes to one child for each; nodes of more than LEAF documents branch
+again, DEPTH times at most. Nodes of LEAF documents are compared exhaustively
+by sketch; what is alike enough there is confirmed on the full sets. Two
+documents of similarity s share none of the paths with odds of
+(1 - s^2)^(TREES * BRANCHES): 2e-7 at 0.85, 5e-6 at 0.8.
+
+Large groups of near copies never meet pair by pair: first the large nodes of
+STARRED paths are linked to their centres, the members that agree most with a
+node's most common sketch. Then nodes whose members all have one component are
+settled and dropped, and in a large node that is left the members of its main
+component are compared with the others only, in chunks, while that makes rows
+in proportion to the node. Where that would be more even at the last level,
+chunks are compared with chunks, which is exact.
 
 Only links needed to connect components are kept, so results do not grow with
 the square of a group.
@@ -40,10 +42,11 @@ from pyspark.sql.window import Window
 from loomgraph.llm.common import by_batches, written
 from loomgraph.llm.components import components
 
-HASHES, TREES, BRANCHES, DEPTH, LEAF, CHUNK = 128, 5, 2, 3, 64, 512
-#: Share of equal signature places from which a pair is confirmed on full sets; 4.75 deviations below 0.85.
-ALIKE_SLACK = 0.15
-SAMPLE = 256  # members that a large node's most common signature is taken from
+HASHES, TREES, BRANCHES, DEPTH, LEAF, CHUNK, STARRED = 128, 6, 2, 2, 64, 256, 3
+#: What a pair's share of equal places may lie below the threshold to be confirmed on full sets: 3.8 deviations.
+ALIKE_SLACK = 0.12
+SAMPLE = 256  # members that a large node's most common sketch is taken from
+SPREAD_ROWS = 4  # rows that a large node may make for each member when its main component meets the others
 _rng = np.random.default_rng(20_240_611)
 _BYTES = _rng.integers(1, 2**64, 256, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -99,25 +102,32 @@ def signature(tokens: np.ndarray) -> np.ndarray:
     return (best >> np.uint64(32)).astype("<u4")
 
 
+def sketch(places: np.ndarray) -> bytes:
+    """One byte of each place of a signature."""
+    return (places & np.uint32(0xFF)).astype(np.uint8).tobytes()
+
+
 def described(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, two fingerprints of the set, signature."""
+    """doc_id, n_shingles, two fingerprints of the set, signature, sketch."""
 
     def make():
         def of(texts: pa.Array) -> list[pa.Array]:
-            n, first, second, signatures = [], [], [], []
+            n, first, second, signatures, sketches = [], [], [], [], []
             with np.errstate(over="ignore"):
                 for text in texts:
                     tokens = shingle_set(text.as_py(), words)
                     n.append(len(tokens))
                     first.append(int(tokens.sum(dtype=np.uint64)))
                     second.append(int(_mixed(tokens * _PLACES[63]).sum(dtype=np.uint64)))
-                    signatures.append(signature(tokens).tobytes())
+                    places = signature(tokens)
+                    signatures.append(places.tobytes())
+                    sketches.append(sketch(places))
             signed = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64), pa.int64())
-            return [pa.array(n, pa.int64()), signed(first), signed(second), pa.array(signatures, pa.binary())]
+            return [pa.array(n, pa.int64()), signed(first), signed(second), pa.array(signatures, pa.binary()), pa.array(sketches, pa.binary())]
 
         return of
 
-    fields = [T.StructField(c, T.LongType()) for c in ("n_shingles", "print1", "print2")] + [T.StructField("signature", T.BinaryType())]
+    fields = [T.StructField(c, T.LongType()) for c in ("n_shingles", "print1", "print2")] + [T.StructField(c, T.BinaryType()) for c in ("signature", "sketch")]
     return by_batches(docs, fields, make, ["doc_id"])
 
 
@@ -143,8 +153,8 @@ def _numbers(table: pa.Table, name: str) -> np.ndarray:
     return table.column(name).to_numpy()
 
 
-def _signatures(table: pa.Table) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column("signature").to_pylist()), dtype="<u4").reshape(-1, HASHES)
+def _sketches(table: pa.Table, name: str = "sketch") -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(name).to_pylist()), dtype=np.uint8).reshape(-1, HASHES)
 
 
 class _Union:
@@ -163,14 +173,13 @@ class _Union:
         return a != b
 
 
-def _alike(n: np.ndarray, signatures: np.ndarray, component: np.ndarray, least: float, first: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (i < j) of different components with alike signatures, most alike first; only i < first if given."""
-    count = len(n) if first is None else first
+def _alike(n: np.ndarray, sketches: np.ndarray, component: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (i < j) of different components with alike sketches, most alike first."""
     found = []
-    for i in range(min(count, len(n) - 1)):
+    for i in range(len(n) - 1):
         js = np.flatnonzero((component[i + 1 :] != component[i]) & (np.minimum(n[i], n[i + 1 :]) >= (least - 1e-9) * np.maximum(n[i], n[i + 1 :]))) + i + 1
         if len(js):
-            equal = (signatures[js] == signatures[i]).sum(axis=1)
+            equal = (sketches[js] == sketches[i]).sum(axis=1)
             good = equal >= (least - ALIKE_SLACK) * HASHES
             found.append((np.full(int(good.sum()), i), js[good], equal[good]))
     if not found:
@@ -186,7 +195,7 @@ def _ordered(df: DataFrame, key: str) -> DataFrame:
 
 
 def _to_confirm(nodes: DataFrame, least: float) -> DataFrame:
-    """Of (node, doc, component, n_shingles, signature): (block, doc, component) to confirm on full sets.
+    """Of (node, doc, component, n_shingles, sketch): (block, doc, component) to confirm on full sets.
 
     A node's documents with alike ones of another component fall into blocks of
     those that hang together; equal blocks of several nodes are one.
@@ -198,7 +207,7 @@ def _to_confirm(nodes: DataFrame, least: float) -> DataFrame:
             doc, component = _numbers(table, "doc"), _numbers(table, "component")
             if len(doc) < 2 or (component == component[0]).all():
                 continue
-            i, j, _ = _alike(_numbers(table, "n_shingles"), _signatures(table), component, least)
+            i, j, _ = _alike(_numbers(table, "n_shingles"), _sketches(table), component, least)
             if not len(i):
                 continue
             # one pair of components may be alike through many members: all of them go
@@ -233,7 +242,7 @@ def _confirmed(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             doc, component = _numbers(table, "doc"), _numbers(table, "component")
             tokens = [np.frombuffer(x, dtype="<u8") for x in table.column("tokens").to_pylist()]
             union = _Union(component)
-            i, j, _ = _alike(np.array(list(map(len, tokens))), _signatures(table), component, percent / 100)
+            i, j, _ = _alike(np.array(list(map(len, tokens))), _sketches(table), component, percent / 100)
             links = []
             for a, b in zip(i.tolist(), j.tolist(), strict=True):
                 if union.find(int(component[a])) == union.find(int(component[b])):
@@ -244,26 +253,33 @@ def _confirmed(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     links.append((int(doc[a]), int(doc[b])))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    known = blocks.join(sets, blocks["doc"] == sets["rep"]).select("block", "doc", "component", "signature", "tokens")
+    known = blocks.join(sets, blocks["doc"] == sets["rep"]).select("block", "doc", "component", "sketch", "tokens")
     return _ordered(known, "block").mapInArrow(run, "a long, b long")
 
 
-def _keys(depth: int, path: list[Column], signature: Column, roots: int) -> Column:
-    """Children of a node: for each branch the node's path and the chosen minwise token."""
-    branches = []
-    for k in range(roots):
-        place = (depth * TREES * BRANCHES + k * 7 + 3 * k * depth) % HASHES
-        branches.append(F.xxhash64(F.lit(depth), F.lit(k), *path, F.substring(signature, 4 * place + 1, 4)))
-    return F.explode(F.array(*branches))
+def _token(signature: Column, place: int) -> Column:
+    return F.substring(signature, 4 * (place % HASHES) + 1, 4)
+
+
+def _roots(signature: Column) -> Column:
+    """The paths of two chosen tokens: (path number, node)."""
+    paths = range(TREES * BRANCHES)
+    return F.explode(F.array(*[F.struct(F.lit(k).alias("path"), F.xxhash64(F.lit(k), _token(signature, 2 * k), _token(signature, 2 * k + 1)).alias("node")) for k in paths]))
+
+
+def _branches(depth: int, node: Column, signature: Column) -> Column:
+    """A node's children: its path and one more chosen token each."""
+    after = 2 * TREES * BRANCHES + depth * 8
+    return F.explode(F.array(*[F.xxhash64(F.lit(depth), F.lit(k), node, _token(signature, after + k)) for k in range(BRANCHES)]))
 
 
 def _centres(nodes: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(node, centre) of large nodes: the member that agrees most with the most common signature of some members."""
+    """(node, centre) of large nodes: the member that agrees most with the most common sketch of some members."""
     some = nodes.join(sizes, "node").where(F.pmod(F.xxhash64("doc", "node"), F.ceil(F.col("size") / SAMPLE)) == 0)
 
     def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, "node"):
-            sorted_ = np.sort(_signatures(table), axis=0)
+            sorted_ = np.sort(_sketches(table), axis=0)
             # the longest run of equal values in each place
             n, best, value = len(sorted_), np.zeros(HASHES, dtype=np.int64), sorted_[0].copy()
             run = np.ones(HASHES, dtype=np.int64)
@@ -272,35 +288,35 @@ def _centres(nodes: DataFrame, sizes: DataFrame) -> DataFrame:
                 run = np.where(sorted_[k] == sorted_[k - 1], run + 1, 1)
                 value = np.where(run > best, sorted_[k], value)
                 best = np.maximum(best, run)
-            yield pa.RecordBatch.from_arrays([table.column("node").combine_chunks()[:1], pa.array([value.astype("<u4").tobytes()], pa.binary())], names=["node", "common"])
+            yield pa.RecordBatch.from_arrays([table.column("node").combine_chunks()[:1], pa.array([value.tobytes()], pa.binary())], names=["node", "common"])
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             table = pa.Table.from_batches([batch])
             if not table.num_rows:
                 continue
-            other = np.frombuffer(b"".join(table.column("common").to_pylist()), dtype="<u4").reshape(-1, HASHES)
-            equal = (_signatures(table) == other).sum(axis=1)
+            equal = (_sketches(table) == _sketches(table, "common")).sum(axis=1)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(equal, pa.int64())], names=["node", "doc", "equal"])
 
-    made = _ordered(some.select("node", "signature"), "node").mapInArrow(common, "node long, common binary")
-    judged = nodes.join(made, "node").select("node", "doc", "signature", "common").mapInArrow(agree, "node long, doc long, equal long")
+    made = _ordered(some.select("node", "sketch"), "node").mapInArrow(common, "node long, common binary")
+    judged = nodes.join(made, "node").select("node", "doc", "sketch", "common").mapInArrow(agree, "node long, doc long, equal long")
     return judged.groupBy("node").agg(F.max_by("doc", F.struct("equal", -F.col("doc"))).alias("centre"))
 
 
-def _sets(docs: DataFrame, reps: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """rep, signature, tokens (the sorted set) of the wanted documents, written."""
+def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """rep, sketch, tokens (the sorted set) of the wanted documents, written."""
 
     def make():
         def of(texts: pa.Array) -> list[pa.Array]:
             with np.errstate(over="ignore"):
-                return [pa.array([shingle_set(t.as_py(), words).astype("<u8").tobytes() for t in texts], pa.binary())]
+                tokens = [shingle_set(t.as_py(), words) for t in texts]
+                sketches = [sketch(signature(x)) for x in tokens]
+            return [pa.array(sketches, pa.binary()), pa.array([x.astype("<u8").tobytes() for x in tokens], pa.binary())]
 
         return of
 
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted.withColumnRenamed("doc", "rep"), "rep")
-    made = by_batches(texts, [T.StructField("tokens", T.BinaryType())], make, ["rep"])
-    return written(made.join(reps.select("rep", "signature"), "rep"))
+    return written(by_batches(texts, [T.StructField("sketch", T.BinaryType()), T.StructField("tokens", T.BinaryType())], make, ["rep"]))
 
 
 def _chunked(starred: DataFrame) -> DataFrame:
@@ -311,36 +327,32 @@ def _chunked(starred: DataFrame) -> DataFrame:
     return dealt.select("block", "doc").union(heads).withColumn("component", F.col("doc"))
 
 
-def _unsettled(large: DataFrame, told: DataFrame, labels: DataFrame) -> DataFrame:
-    """What is left of large nodes (node, doc): nodes (node, doc, component, n_shingles, signature) to compare exhaustively."""
+def _unsettled(large: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
+    """What is left of large nodes (node, doc): nodes (node, doc, component) to compare exhaustively."""
     current = large.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    done: list[DataFrame] = []
+    every = None
     for depth in range(1, DEPTH + 1):
         # members by component first, so a hot node is summed before it is shuffled
         by_component = current.groupBy("node", "component").agg(F.count(F.lit(1)).alias("n"))
         stats = by_component.groupBy("node").agg(F.sum("n").alias("size"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
         held = written(current.join(stats, "node"))
-        others = F.col("size") - F.col("most")
-        is_leaf, is_split = F.col("size") <= LEAF, others <= LEAF
-        done.append(held.where(is_leaf).select("node", "doc", "component"))
-        # the main component's members in pieces, each with all the others
-        pieces = F.ceil(F.col("most") / CHUNK)
-        own = F.array(F.pmod(F.xxhash64("doc"), pieces))
-        to = F.explode(F.when(F.col("component") == F.col("main"), own).otherwise(F.sequence(F.lit(0).cast("long"), pieces - 1)))
-        done.append(held.where(~is_leaf & is_split).withColumn("piece", to).select(F.xxhash64("node", "piece").alias("node"), "doc", "component"))
-        rest = held.where(~is_leaf & ~is_split)
+        zero = F.lit(0).cast("long")
+        others, pieces = F.col("size") - F.col("most"), F.ceil(F.col("most") / CHUNK)
+        is_split = (others <= LEAF) | (others * pieces <= SPREAD_ROWS * F.col("size"))
+        # the main component's members in pieces, each with all the others; a small node is one piece
+        own = F.array(F.when(F.col("size") <= LEAF, zero).otherwise(F.pmod(F.xxhash64("doc"), pieces)))
+        to = F.when((F.col("component") == F.col("main")) | (F.col("size") <= LEAF), own).otherwise(F.sequence(zero, pieces - 1))
+        # at the last level, what does not split is compared piece with piece
+        blocks = F.ceil(F.col("size") / CHUNK)
+        mine = F.pmod(F.xxhash64("doc"), blocks)
+        pairs = F.transform(F.sequence(zero, blocks - 1), lambda x: F.least(mine, x) * 1_000_003 + F.greatest(mine, x) + 1_000)
+        shown = held if depth == DEPTH else held.where(is_split)
+        part = shown.withColumn("piece", F.explode(F.when(is_split, to).otherwise(pairs))).select(F.xxhash64("node", "piece").alias("node"), "doc", "component")
+        every = part if every is None else every.union(part)
         if depth < DEPTH:
-            signed = rest.select("node", "doc", "component").join(told.select("doc", "signature"), "doc")
-            current = signed.select("doc", "component", _keys(depth, [F.col("node")], F.col("signature"), BRANCHES).alias("node"))
-            continue
-        pieces = F.ceil(F.col("size") / CHUNK)
-        own = F.pmod(F.xxhash64("doc"), pieces)
-        met = rest.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)))
-        done.append(met.select(F.xxhash64("node", F.least("own", "with"), F.greatest("own", "with")).alias("node"), "doc", "component"))
-    every = done[0]
-    for more in done[1:]:
-        every = every.union(more)
-    return every.join(told, "doc")
+            signed = held.where(~is_split).select("node", "doc", "component").join(reps.select(F.col("rep").alias("doc"), "signature"), "doc")
+            current = signed.select("doc", "component", _branches(depth, F.col("node"), F.col("signature")).alias("node"))
+    return every
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -349,31 +361,33 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     known = written(described(docs, words))
     linked = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     same = ["n_shingles", "print1", "print2"]
-    first_of = F.min_by(F.struct("doc_id", "signature"), F.col("doc_id"))
-    reps = written(known.where(linked).groupBy(*same).agg(first_of.alias("r")).select(F.col("r.doc_id").cast("long").alias("rep"), *same, F.col("r.signature").alias("signature")))
-    told = reps.select(F.col("rep").alias("doc"), "n_shingles", "signature")
-    roots = written(told.select("doc", _keys(0, [], F.col("signature"), TREES * BRANCHES).alias("node")))
-    sizes = written(roots.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
-    nodes = roots.join(sizes, "node")
-
-    # small nodes: which documents have anything alike in them; sets are made for these alone
-    small = nodes.where(F.col("size") <= LEAF).join(told, "doc").withColumn("component", F.col("doc"))
-    alike = written(_to_confirm(small, least))
-    # large nodes: members and centre, in chunks
-    large = written(nodes.where(F.col("size") > LEAF).select("node", "doc"))
-    centres = _centres(large.join(told, "doc"), sizes)
-    chunked = written(_to_confirm(_chunked(large.join(centres, "node").where("doc != centre").select("centre", "doc").distinct()).withColumnRenamed("block", "node").join(told, "doc"), least))
-    sets = _sets(docs, reps, alike.select("doc").union(chunked.select("doc")).distinct(), words)
-    first = written(_confirmed(alike, sets, percent).union(_confirmed(chunked, sets, percent)))
+    first_of = F.min_by(F.struct("doc_id", "signature", "sketch"), F.col("doc_id"))
+    firsts = known.where(linked).groupBy(*same).agg(first_of.alias("r"))
+    reps = written(firsts.select(F.col("r.doc_id").cast("long").alias("rep"), *same, F.col("r.signature").alias("signature"), F.col("r.sketch").alias("sketch")))
+    told = reps.select(F.col("rep").alias("doc"), "n_shingles", "sketch")
+    roots = written(reps.select(F.col("rep").alias("doc"), _roots(F.col("signature")).alias("at")).select("doc", "at.path", "at.node"))
+    sizes = roots.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    nodes = written(roots.join(sizes, "node"))
+
+    # small nodes are compared exhaustively; members of large ones with the centre of their node, in chunks
+    small = nodes.where(F.col("size") <= LEAF).select("node", "doc")
+    large = nodes.where(F.col("size") > LEAF).select("node", "doc", "path", "size")
+    starred = large.where(F.col("path") < STARRED)
+    centres = _centres(starred.select("node", "doc").join(told, "doc"), starred.select("node", "size").distinct())
+    chunks = _chunked(starred.join(centres, "node").where("doc != centre").select("centre", "doc").distinct()).select(F.col("block").alias("node"), "doc")
+    met = small.union(chunks).withColumn("component", F.col("doc")).join(told, "doc")
+    alike = written(_to_confirm(met, least))
+    sets = _sets(docs, alike.select("doc").distinct(), words)
+    first = written(_confirmed(alike, sets, percent))
     labels = components(first)
 
     # what these links leave open in large nodes
-    left = written(_to_confirm(_unsettled(large, told, labels), least))
+    left = written(_to_confirm(_unsettled(large.select("node", "doc"), reps, labels).join(told, "doc"), least))
     more = left.select("doc").distinct().join(sets.select(F.col("rep").alias("doc")), "doc", "left_anti")
-    second = _confirmed(left, sets.unionByName(_sets(docs, reps, more, words)), percent)
+    second = _confirmed(left, sets.unionByName(_sets(docs, more, words)), percent)
     labels = components(first.union(second))
     members = reps.join(labels, reps["rep"] == labels["node"], "left").select(*same, F.coalesce("component", "rep").alias("component_id"))
-    joined = known.withColumn("__linked", linked).join(members, same, "left")
+    joined = known.select("doc_id", *same).withColumn("__linked", linked).join(members, same, "left")
     component = F.when(F.col("__linked"), F.col("component_id")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
