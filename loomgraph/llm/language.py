@@ -19,6 +19,7 @@ columns are ignored, or kept if asked for.
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -55,12 +56,12 @@ def plain(token: str) -> str:
     return word[a:b]
 
 
-def features(word: str) -> list[str]:
+def features(word: str) -> set[str]:
     bound = f"<{word}>"
-    found = {bound[i : i + 2] for i in range(len(bound) - 1)} | {bound[i : i + 3] for i in range(len(bound) - 2)}
-    found |= {f"^{word[:k]}" for k in (1, 2, 3)} | {f"{word[-k:]}$" for k in (1, 2, 3)}
-    found.add(f"={word}")
-    return list(found)
+    found = {bound[i : i + 3] for i in range(len(bound) - 2)}
+    found.update([bound[i : i + 2] for i in range(len(bound) - 1)])
+    found.update(("=" + word, "^" + word[:1], "^" + word[:2], "^" + word[:3], word[-1:] + "$", word[-2:] + "$", word[-3:] + "$"))
+    return found
 
 
 @dataclass
@@ -72,14 +73,20 @@ class Model:
     weights: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), dtype=np.float32))
     transitions: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
 
-    def emission(self, token: str) -> np.ndarray:
-        """Potentials of a token's labels, the highest of them 1; all 1 for a token without letters."""
-        word = plain(token)
-        at = [r for f in features(word) if (r := self.rows.get(f)) is not None] if word else []
-        if not at:
-            return np.ones(len(self.languages), dtype=np.float32)
-        total = self.weights[at].sum(axis=0)
-        return np.exp(total - total.max())
+    def emissions(self, tokens: list[str]) -> np.ndarray:
+        """Potentials of each token's labels, the highest of them 1; all 1 for a token without letters."""
+        get, flat, counts = self.rows.get, [], []
+        for token in tokens:
+            word, before = plain(token), len(flat)
+            if word:
+                flat += [r for r in map(get, features(word)) if r is not None]
+            counts.append(len(flat) - before)
+        n = np.array(counts)
+        total = np.zeros((len(tokens), len(self.languages)), dtype=np.float32)
+        some = np.flatnonzero(n)
+        if len(some):
+            total[some] = np.add.reduceat(self.weights[np.array(flat)], (np.cumsum(n) - n)[some], axis=0)
+        return np.exp(total - total.max(axis=1, keepdims=True))
 
 
 def train(runs: list[tuple[list[str], str]], seed: int = 11) -> Model:
@@ -95,7 +102,7 @@ def train(runs: list[tuple[list[str], str]], seed: int = 11) -> Model:
             seen[f] += n
     rows = {f: k for k, f in enumerate(sorted(f for f, n in seen.items() if n >= (LEXICON_LEAST if f[0] == "=" else FEATURE_LEAST)))}
     words = {w: k for k, w in enumerate(sorted(counts))}
-    lists = [np.array([rows[f] for f in features(w) if f in rows], dtype=np.int64) for w in words]
+    lists = [np.array(sorted(rows[f] for f in features(w) if f in rows), dtype=np.int64) for w in words]
     sizes = np.array([len(x) for x in lists])
     starts = np.concatenate([[0], np.cumsum(sizes)])
     flat = np.concatenate(lists) if lists else np.zeros(0, dtype=np.int64)
@@ -215,20 +222,15 @@ class Labeller:
         self.model, self.no, self.known = model, {}, np.ones((1 << 12, max(1, len(model.languages))), dtype=np.float32)
         self.lettered = np.zeros(1 << 12, dtype=bool)
 
-    def _index(self, tokens: list[str]) -> list[int]:
-        no = self.no
-        try:
-            return list(map(no.__getitem__, tokens))
-        except KeyError:
-            for token in tokens:
-                if token not in no:
-                    k = no[token] = len(no)
-                    if k == len(self.known):
-                        self.known = np.concatenate([self.known, np.ones_like(self.known)])
-                        self.lettered = np.concatenate([self.lettered, np.zeros_like(self.lettered)])
-                    self.known[k] = self.model.emission(token)
-                    self.lettered[k] = any(map(str.isalpha, token))
-            return list(map(no.__getitem__, tokens))
+    def _learn(self, tokens: list[str]) -> None:
+        """Keeps the potentials of tokens that are not known yet."""
+        start = len(self.no)
+        self.no.update(zip(tokens, range(start, start + len(tokens)), strict=True))
+        while len(self.no) > len(self.known):
+            self.known = np.concatenate([self.known, np.ones_like(self.known)])
+            self.lettered = np.concatenate([self.lettered, np.zeros_like(self.lettered)])
+        self.known[start : len(self.no)] = self.model.emissions(tokens)
+        self.lettered[start : len(self.no)] = [any(map(str.isalpha, t)) for t in tokens]
 
     def label(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         n = len(self.model.languages)
@@ -236,9 +238,11 @@ class Labeller:
             return [UNKNOWN] * len(texts), [0.0] * len(texts)
         if len(self.no) > KEPT:
             self.no.clear()
-        each = [self._index((t or "").split()) for t in texts]
-        lengths = np.array([len(x) for x in each], dtype=np.int64)
-        ids = np.array([i for x in each for i in x], dtype=np.int64)
+        each = [(t or "").split() for t in texts]
+        lengths = np.array(list(map(len, each)), dtype=np.int64)
+        tokens = list(itertools.chain.from_iterable(each))
+        self._learn(list(set(tokens).difference(self.no)))
+        ids = np.fromiter(map(self.no.__getitem__, tokens), dtype=np.int64, count=len(tokens))
         odds = posteriors(self.known[ids].astype(np.float64), lengths, self.model.transitions)
         counted = self.lettered[ids]
         owner = np.repeat(np.arange(len(texts)), lengths)[counted]
