@@ -131,7 +131,7 @@ def allot(docs: DataFrame, block: int = BLOCK, buckets: int = BUCKETS) -> DataFr
     )
     uses = slots(sources).groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("uses"))
     some = (
-        parts.where("size > 0").join(uses, ["source_no", "block"], "left")
+        parts.where("size > 0").join(uses.hint("shuffle_merge"), ["source_no", "block"], "left")
         .groupBy("doc_id", "size", "source_no", "source_size", "target", "at")
         .agg(F.sum(F.col("words") * F.coalesce("uses", F.lit(0))).cast("long").alias("taken"))
     )
