@@ -89,7 +89,8 @@ def slots(sources: DataFrame, shards: int = SHARDS) -> DataFrame:
     drawn = (
         sources.where(F.col("end_slot") > F.col("first_slot"))
         .select("source_no", "blocks", "first_slot", "end_slot", spans.alias("span"))
-        .repartition("source_no", "span")
+        # by number, as these few small rows would otherwise be put into one task
+        .repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source_no", "span")
         .select("source_no", "blocks", "first_slot", each.alias("slot"))
         .withColumn("t", F.col("slot") - F.col("first_slot"))
     )
