@@ -253,7 +253,8 @@ def _confirmed(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     links.append((int(doc[a]), int(doc[b])))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    known = blocks.join(sets, blocks["doc"] == sets["rep"]).select("block", "doc", "component", "sketch", "tokens")
+    # what is wanted grows with the corpus, so it is not broadcast while it is small either
+    known = blocks.hint("shuffle_merge").join(sets, blocks["doc"] == sets["rep"]).select("block", "doc", "component", "sketch", "tokens")
     return _ordered(known, "block").mapInArrow(run, "a long, b long")
 
 
@@ -315,7 +316,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
         return of
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted.withColumnRenamed("doc", "rep"), "rep")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted.withColumnRenamed("doc", "rep").hint("shuffle_merge"), "rep")
     return written(by_batches(texts, [T.StructField("sketch", T.BinaryType()), T.StructField("tokens", T.BinaryType())], make, ["rep"]))
 
 
