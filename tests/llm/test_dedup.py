@@ -108,6 +108,20 @@ def test_components_of_paths_and_stars(spark):
     assert got == expected
 
 
+def test_components_of_long_paths(spark):
+    """The worst order of ids, and random ones: more hops than a label could walk in a bounded number of rounds."""
+    rng = random.Random(10)
+    paths, first = [[0, *range(300, 0, -1)]], 1000
+    for _ in range(2):
+        ids = list(range(first, first + 1000))
+        rng.shuffle(ids)
+        paths.append(ids)
+        first += 1000
+    links = [x for p in paths for x in zip(p, p[1:])]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {n: min(p) for p in paths for n in p}
+
+
 def vectors(seed=2):
     rng = np.random.default_rng(seed)
     rows, k = [], 0
