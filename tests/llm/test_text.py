@@ -247,3 +247,25 @@ def test_licenses(spark, no_docs):
         6: ("GPL-3.0", None, None), 7: (None, "GPL-3.0", "a"), 8: ("CC-BY-NC-4.0", None, None), 9: (None, "CC-BY-NC-4.0", "q/r"), 10: (None, None, None),
     }
     assert licenses.scan(no_docs.selectExpr("doc_id AS row", "source AS path", "text")).count() == 0
+
+
+def test_real_license_files_and_headers(spark):
+    """Full texts, wrapped headers in comments, identifiers and titles; what stands at the root holds for all."""
+    texts = dict(licenses._texts())
+    wrap = lambda text, sign: "\n".join(sign + " ".join(text.split()[k : k + 9]) for k in range(0, len(text.split()), 9))
+    header = {}
+    for license, text in licenses.HEADERS:
+        header.setdefault(license, text)
+    code = "\n".join(f"value_{k} = compute(value_{k + 1}, other_{k})" for k in range(60))
+    cases = [(f"full/{k}/LICENSE", t, k) for k, t in texts.items()]
+    cases += [("mit/terms.txt", "Copyright (c) 2021 Jane Doe and others\n\n" + texts["MIT"], "MIT")]
+    cases += [(f"head/{k}{n}.x", f"{sign}Copyright (C) 2019 Jane Doe <jane@example.org>\n{sign.rstrip()}\n" + wrap(t, sign) + "\n\n" + code, k) for k, t in header.items() for n, sign in enumerate(("# ", "// ", " * "))]
+    cases += [("head/block.js", "/*\n" + texts["MIT"] + "*/\n" + code, "MIT"), ("head/long.py", wrap(header["GPL-3.0"], "# ") + "\n#\n" + wrap("words of the module that tell nothing " * 40, "# ") + "\n" + code, "GPL-3.0")]
+    cases += [("spdx/a.c", "// SPDX-License-Identifier: MIT\n" + code, "MIT"), ("spdx/b.c", "/* SPDX-License-Identifier: GPL-3.0-or-later */\n" + code, "GPL-3.0"), ("spdx/c.py", "# SPDX-License-Identifier: Apache-2.0\n# All rights reserved.\n" + code, "Apache-2.0")]
+    cases += [("spdx/none.c", "// SPDX-License-Identifier: Zlib\n" + code, None), ("title/x.md", "MIT License\n" + code, "MIT"), ("prose.txt", "You need a license to fish in the lake and to keep what you have caught there. " * 30, None)]
+    rows = [(k, path, text) for k, (path, text, _) in enumerate(cases)]
+    got = {r["row"]: r for r in licenses.scan(spark.createDataFrame(rows, "row long, path string, text string")).collect()}
+    assert {cases[k][0]: r["license"] for k, r in got.items()} == {path: license for path, _, license in cases}
+    root = [(0, "LICENSE", texts["BSD-3-Clause"]), (1, "a/b/c.txt", "plain"), (2, "d.txt", None), (3, "a/LICENSE", texts["MPL-2.0"]), (4, "e/f.txt", "x"), (5, None, "y")]
+    got = {r["row"]: (r["inherited_license"], r["inherited_from"]) for r in licenses.scan(spark.createDataFrame(root, "row long, path string, text string")).collect()}
+    assert got == {0: (None, None), 1: ("MPL-2.0", "a"), 2: ("BSD-3-Clause", ""), 3: (None, None), 4: ("BSD-3-Clause", ""), 5: (None, None)}
