@@ -48,8 +48,11 @@ def _edges(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
 
 
 def load_ntriples_uri_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _loaded(spark, sf_dir, _edges(spark, sf_dir, "inRegion", "ofNation", "brand"))
+
+
+def _loaded(spark: SparkSession, sf_dir: str, given: DataFrame) -> DataFrame:
     base = "http://example.org/tpch#"
-    given = _edges(spark, sf_dir, "inRegion", "ofNation", "brand")
     iris = rdf.lines(given.select(*[F.concat(F.lit(base), F.replace(F.col(c), F.lit("#"), F.lit("-"))).alias(c) for c in "spo"]))
     others = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
         F.explode(F.array(
@@ -65,8 +68,7 @@ def load_ntriples_uri_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answer_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = _edges(spark, sf_dir, "placedBy", "ofNation", "inRegion")
-    return Store.build(given).query(PATTERNS["path3"])
+    return Store.build(triples(spark, sf_dir)).query(PATTERNS["path3"])
 
 
 def code_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,9 +109,15 @@ def _merged_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     return items.where("l_linenumber <= 4").drop("l_linenumber"), items.where("l_linenumber >= 3").drop("l_linenumber")
 
 
-def _runs(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+def _runs(spark: SparkSession, sf_dir: str, numbers=(1, 2, 3)) -> list[DataFrame]:
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return [lines.where(F.col("l_linenumber") == k).select(F.col("l_partkey").alias("v")) for k in (1, 2, 3)]
+    return [lines.where(F.col("l_linenumber").eqNullSafe(k)).select(F.col("l_partkey").alias("v")) for k in numbers]
+
+
+def _every_run(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """A run for each line number that there is."""
+    numbers = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_linenumber").distinct().collect()
+    return _runs(spark, sf_dir, [r[0] for r in numbers])
 
 
 def batch_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,11 +140,19 @@ UB = "http://swat.cse.lehigh.edu/onto/univ-bench.owl#"
 
 
 def posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.posting_lists(_edges(spark, sf_dir, "ofNation", "brand")).select("p", "o", F.array_join("subjects", ",").alias("subjects"))
+    return _joined_lists(_edges(spark, sf_dir, "ofNation", "brand"))
+
+
+def _joined_lists(given: DataFrame) -> DataFrame:
+    return index.posting_lists(given).select("p", "o", F.array_join("subjects", ",").alias("subjects"))
 
 
 def nested_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = index.nested(_edges(spark, sf_dir, "ofNation", "brand", "inRegion"))
+    return _nested_sizes(_edges(spark, sf_dir, "ofNation", "brand", "inRegion"))
+
+
+def _nested_sizes(given: DataFrame) -> DataFrame:
+    made = index.nested(given)
     return made.select("p", F.size("objects").cast("long").alias("n_objects"), F.aggregate("objects", F.lit(0).cast("long"), lambda n, x: n + F.size(x["subjects"])).alias("n_statements"))
 
 
@@ -166,6 +182,14 @@ def queries() -> dict:
         "sort_codes": lambda spark, d: spark.read.parquet(f"{d}/lineitem.parquet").select("l_partkey").orderBy("l_partkey"),
         "rdf_statement_kinds": lambda spark, d: rdf.by_kind(rdf.parse_lines(spark.read.parquet(f"{d}/supplier.parquet").select(F.explode(F.array(F.format_string("<u:s%s> <u:p> <u:o> .", F.col("s_suppkey").cast("string")), F.format_string('<u:s%s> <u:p> "x" .', F.col("s_suppkey").cast("string")), F.lit("_:a <u:p> <u:o> ."))).alias("value")))),
     }
+    # over all statements and lines, where the query of that name has some of them
+    found |= {
+        "load_ntriples_uri_filter_whole": lambda spark, d: _loaded(spark, d, triples(spark, d)),
+        "encode_roundtrip_whole": lambda spark, d: Store.build(triples(spark, d)).decoded(),
+        "posting_lists_whole": lambda spark, d: _joined_lists(triples(spark, d)),
+        "nested_index_whole": lambda spark, d: _nested_sizes(triples(spark, d)),
+        "kway_merge_whole": lambda spark, d: bags.merge_runs(_every_run(spark, d), "v"),
+    }
     for f in (load_ntriples_uri_filter, answer_decoded, code_rank, encode_roundtrip, huffman_cost, varint_roundtrip, merge_max_union, bag_intersect, batch_lookup, common_prefix, iri_expand, posting_lists, nested_index, exists_subject, result_xml_rows):
         found[f.__name__] = f
     return found
@@ -207,6 +231,11 @@ def oracle_sql() -> dict[str, str]:
         "count_tree_sparql": t + f"SELECT count(*) AS n FROM ({times})",
         "shared_leaf_sparql": t + "SELECT a.s AS x FROM t a JOIN t b ON a.s = b.s JOIN t c ON a.s = c.s AND a.o = c.o WHERE a.p = 'hasPart' AND b.p = 'suppliedBy' AND c.p = 'hasPart'",
         "load_ntriples_uri_filter": some("inRegion", "ofNation", "brand") + "SELECT 'http://example.org/tpch#' || s AS s, 'http://example.org/tpch#' || p AS p, 'http://example.org/tpch#' || replace(o, '#', '-') AS o FROM t",
+        "load_ntriples_uri_filter_whole": t + "SELECT 'http://example.org/tpch#' || replace(s, '#', '-') AS s, 'http://example.org/tpch#' || p AS p, 'http://example.org/tpch#' || replace(replace(o, '#', '-'), ' ', '_') AS o FROM t",  # lines() writes _ for blanks
+        "encode_roundtrip_whole": t + "SELECT s, p, o FROM t",
+        "posting_lists_whole": t + "SELECT p, o, string_agg(s, ',' ORDER BY s) AS subjects FROM t GROUP BY p, o",
+        "nested_index_whole": t + "SELECT p, count(DISTINCT o) AS n_objects, count(*) AS n_statements FROM t GROUP BY p",
+        "kway_merge_whole": "SELECT l_partkey AS v FROM lineitem ORDER BY v",
         "answer_decoded": t + path3,
         "term_freq_so": t + freq,
         "term_freq_p": t + "SELECT p AS term, count(*) AS freq FROM t GROUP BY p",
