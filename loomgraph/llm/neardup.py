@@ -9,7 +9,9 @@ document goes to one child for each; nodes of more than LEAF documents branch
 again, DEPTH times at most. Nodes of LEAF documents are compared exhaustively
 by sketch; what is alike enough there is confirmed on the full sets. Two
 documents of similarity s share none of the paths with odds of
-(1 - s^2)^(TREES * BRANCHES): 2e-7 at 0.85, 5e-6 at 0.8.
+(1 - s^2)^(TREES * BRANCHES): 2e-7 at 0.85, 5e-6 at 0.8. Each path branches by
+places of its own, so where all shared roots branch the odds are those of
+(1 - s^2 (1 - (1 - s)^BRANCHES))^(TREES * BRANCHES): 4e-7 and 1.1e-5.
 
 Large groups of near copies never meet pair by pair: first the large nodes of
 STARRED paths are linked to their centres, the members that agree most with a
@@ -268,10 +270,13 @@ def _roots(signature: Column) -> Column:
     return F.explode(F.array(*[F.struct(F.lit(k).alias("path"), F.xxhash64(F.lit(k), _token(signature, 2 * k), _token(signature, 2 * k + 1)).alias("node")) for k in paths]))
 
 
-def _branches(depth: int, node: Column, signature: Column) -> Column:
-    """A node's children: its path and one more chosen token each."""
-    after = 2 * TREES * BRANCHES + depth * 8
-    return F.explode(F.array(*[F.xxhash64(F.lit(depth), F.lit(k), node, _token(signature, after + k)) for k in range(BRANCHES)]))
+def _branches(depth: int, path: Column, node: Column, signature: Column) -> Column:
+    """A node's children (path, node): its path and one more chosen token each, at places of that path alone."""
+    paths = [TREES * BRANCHES * BRANCHES**d for d in range(depth + 1)]
+    first = 2 * paths[0] + sum(paths[1:depth])
+    child = [path * BRANCHES + k for k in range(BRANCHES)]
+    token = [signature.substr(4 * F.pmod(first + c, F.lit(HASHES)) + 1, F.lit(4)) for c in child]
+    return F.explode(F.array(*[F.struct(c.alias("path"), F.xxhash64(F.lit(depth), c, node, t).alias("node")) for c, t in zip(child, token, strict=True)]))
 
 
 def _centres(nodes: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -329,7 +334,7 @@ def _chunked(starred: DataFrame) -> DataFrame:
 
 
 def _unsettled(large: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
-    """What is left of large nodes (node, doc): nodes (node, doc, component) to compare exhaustively."""
+    """What is left of large nodes (node, doc, path): nodes (node, doc, component) to compare exhaustively."""
     current = large.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     every = None
     for depth in range(1, DEPTH + 1):
@@ -351,8 +356,8 @@ def _unsettled(large: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFram
         part = shown.withColumn("piece", F.explode(F.when(is_split, to).otherwise(pairs))).select(F.xxhash64("node", "piece").alias("node"), "doc", "component")
         every = part if every is None else every.union(part)
         if depth < DEPTH:
-            signed = held.where(~is_split).select("node", "doc", "component").join(reps.select(F.col("rep").alias("doc"), "signature"), "doc")
-            current = signed.select("doc", "component", _branches(depth, F.col("node"), F.col("signature")).alias("node"))
+            signed = held.where(~is_split).select("node", "doc", "component", "path").join(reps.select(F.col("rep").alias("doc"), "signature"), "doc")
+            current = signed.select("doc", "component", _branches(depth, F.col("path"), F.col("node"), F.col("signature")).alias("at")).select("doc", "component", "at.path", "at.node")
     return every
 
 
@@ -383,7 +388,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     labels = components(first)
 
     # what these links leave open in large nodes
-    left = written(_to_confirm(_unsettled(large.select("node", "doc"), reps, labels).join(told, "doc"), least))
+    left = written(_to_confirm(_unsettled(large.select("node", "doc", "path"), reps, labels).join(told, "doc"), least))
     more = left.select("doc").distinct().join(sets.select(F.col("rep").alias("doc")), "doc", "left_anti")
     second = _confirmed(left, sets.unionByName(_sets(docs, more, words)), percent)
     labels = components(first.union(second))

@@ -81,6 +81,23 @@ def test_large_groups_chains_and_hubs(spark, monkeypatch):
     assert got == component
 
 
+def test_hot_nodes_that_branch(spark, monkeypatch):
+    """Pairs of near copies among documents with one template: all roots are large, and none is split before it branches."""
+    monkeypatch.setattr(neardup, "LEAF", 8)
+    monkeypatch.setattr(neardup, "SPREAD_ROWS", 0)
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    template = [word() for _ in range(150)]
+    rows = []
+    for k in range(300):
+        own = [word() for _ in range(24)]
+        rows += [(2 * k, " ".join(template + own)), (2 * k + 1, " ".join(template + own[:12] + [word() for _ in range(12)]))]
+    _, component = brute(rows, 3, 85)
+    assert len(set(component.values())) == 300
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert got == component
+
+
 def test_nothing(spark, no_docs):
     assert neardup.near_duplicates(no_docs).count() == 0
     assert neardup.deduplicated(no_docs).columns == no_docs.columns
