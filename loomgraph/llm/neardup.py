@@ -12,6 +12,8 @@ documents of similarity s share none of the paths with odds of
 (1 - s^2)^(TREES * BRANCHES): 2e-7 at 0.85, 5e-6 at 0.8. Each path branches by
 places of its own, so where all shared roots branch the odds are those of
 (1 - s^2 (1 - (1 - s)^BRANCHES))^(TREES * BRANCHES): 4e-7 and 1.1e-5.
+Sketches, the same for all nodes, rule out a pair at the threshold with odds of
+1e-7 at 0.85 and 1e-6 at 0.8 (bytes that are equal by chance only help).
 
 Large groups of near copies never meet pair by pair: first the large nodes of
 STARRED paths are linked to their centres, the members that agree most with a
@@ -45,8 +47,8 @@ from loomgraph.llm.common import by_batches, written
 from loomgraph.llm.components import components
 
 HASHES, TREES, BRANCHES, DEPTH, LEAF, CHUNK, STARRED = 128, 6, 2, 2, 64, 256, 3
-#: What a pair's share of equal places may lie below the threshold to be confirmed on full sets: 3.8 deviations.
-ALIKE_SLACK = 0.12
+#: What a pair's share of equal places may lie below the threshold to be confirmed on full sets: 5 deviations or more.
+ALIKE_SLACK = 0.18
 SAMPLE = 256  # members that a large node's most common sketch is taken from
 SPREAD_ROWS = 4  # rows that a large node may make for each member when its main component meets the others
 _rng = np.random.default_rng(20_240_611)

@@ -98,6 +98,20 @@ def test_hot_nodes_that_branch(spark, monkeypatch):
     assert got == component
 
 
+@pytest.mark.parametrize("least", [0.85, 0.8])
+def test_sketches_rule_out_next_to_nothing(least):
+    """At the threshold itself a pair's equal places are binomial; one of 100000 pairs may be lost."""
+    from math import comb
+
+    sketches = np.zeros((2, neardup.HASHES), dtype=np.uint8)
+    lost = 0.0
+    for equal in range(neardup.HASHES + 1):
+        sketches[1] = np.arange(neardup.HASHES) >= equal
+        if not len(neardup._alike(np.array([100, 100]), sketches, np.array([0, 1]), least)[0]):
+            lost += comb(neardup.HASHES, equal) * least**equal * (1 - least) ** (neardup.HASHES - equal)
+    assert lost < 1e-5
+
+
 def test_nothing(spark, no_docs):
     assert neardup.near_duplicates(no_docs).count() == 0
     assert neardup.deduplicated(no_docs).columns == no_docs.columns
