@@ -261,7 +261,8 @@ def learn(docs: DataFrame, may_learn: Column) -> Model:
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return Model()
-    place = F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    # with the text, so that rows which share an id are drawn one by one
+    place = F.pmod(F.xxhash64(F.lit(9), "doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)
     share = F.element_at(F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, SAMPLE_DOCS / n))]), F.col("lang"))
 
     def cut(batches):
@@ -274,8 +275,9 @@ def learn(docs: DataFrame, may_learn: Column) -> Model:
             if runs:
                 yield pd.DataFrame({"doc_id": batch["doc_id"], "run": runs, "lang": batch["lang"]})
 
-    chosen = usable.where(place < share).mapInPandas(cut, "doc_id long, run string, lang string").toPandas()
-    chosen = chosen.sort_values(["doc_id", "run"], kind="stable")
+    chosen = usable.where(place < share).mapInPandas(cut, "doc_id long, run string, lang string")
+    # repeats of one row are drawn together, and count once
+    chosen = chosen.distinct().toPandas().sort_values(["doc_id", "run"], kind="stable")
     return train([(run.split(), lang) for run, lang in zip(chosen["run"], chosen["lang"], strict=True)])
 
 

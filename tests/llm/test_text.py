@@ -269,3 +269,15 @@ def test_real_license_files_and_headers(spark):
     root = [(0, "LICENSE", texts["BSD-3-Clause"]), (1, "a/b/c.txt", "plain"), (2, "d.txt", None), (3, "a/LICENSE", texts["MPL-2.0"]), (4, "e/f.txt", "x"), (5, None, "y")]
     got = {r["row"]: (r["inherited_license"], r["inherited_from"]) for r in licenses.scan(spark.createDataFrame(root, "row long, path string, text string")).collect()}
     assert got == {0: (None, None), 1: ("MPL-2.0", "a"), 2: ("BSD-3-Clause", ""), 3: (None, None), 4: ("BSD-3-Clause", ""), 5: (None, None)}
+
+
+def test_language_sample_is_bounded_where_rows_share_an_id(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE_DOCS", 50)
+    rng = random.Random(13)
+    rows = [(i, written_in("en", rng, 12), "en") for i in (7, None) for _ in range(1000)] + [(9, f"copies of text {k}", "de") for k in range(40) for _ in range(50)]
+    given = []
+    monkeypatch.setattr(language, "train", lambda pairs: given.extend(pairs))
+    language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    n = Counter(lang for _, lang in given)
+    assert 20 <= n["en"] <= 100 and n["de"] <= 40
+    assert max(Counter(tuple(words) for words, _ in given).values()) == 1
