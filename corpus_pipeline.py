@@ -54,7 +54,7 @@ STAGES = [
     ("mixing", mix_sources),
     ("byte_bpe", encode),
 ]
-#: Learned models, minwise trees and byte-level merges are not SQL; tests hold run() against brute force.
+#: Learned models, minwise trees and byte-level merges are not SQL; tests hold near copies and decoded tokens of run() against brute force.
 ORACLE_SQL = None
 
 

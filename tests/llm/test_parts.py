@@ -160,3 +160,23 @@ def test_matches_sql(spark, name):
 @pytest.mark.skipif(not DATA.exists(), reason="no test tables")
 def test_registered_queries():
     assert {re.match(r"op(\d+)_", n)[1] for n in registry.queries()} == set(map(str, range(1, 11)))
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+def test_run_drops_near_copies_and_keeps_texts(spark, tmp_path, monkeypatch):
+    """run() on planted near copies: stage 3 by brute force on its own input, stage 5 by what its tokens decode to."""
+    from test_dedup import brute
+
+    docs = spark.read.parquet(str(DATA / "documents.parquet"))
+    copies = docs.where("doc_id % 9 = 0").withColumn("doc_id", docs["doc_id"] + 10**7).withColumn("text", corpus_pipeline.F.concat("text", corpus_pipeline.F.lit(" one more ending")))
+    docs.unionByName(copies).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(str(DATA / "labels.parquet")).write.parquet(str(tmp_path / "labels.parquet"))
+    outs = []
+    monkeypatch.setattr(corpus_pipeline, "written", lambda df, write=corpus_pipeline.written: outs.append(write(df)) or outs[-1])
+    last = corpus_pipeline.run(spark, str(tmp_path))
+    assert len(outs) == 4
+    given = [(r["doc_id"], r["text"]) for r in outs[1].collect()]
+    _, component = brute(given, 5, 80)
+    assert len(set(component.values())) < len(component)
+    assert Counter(r["doc_id"] for r in outs[2].collect()) == Counter(set(component.values()))
+    assert Counter(r["decoded"] for r in corpus_pipeline.bpe.decode(last).collect()) == Counter(r["text"] or "" for r in outs[3].collect())
