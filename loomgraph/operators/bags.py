@@ -17,9 +17,20 @@ def counted(rows: DataFrame, column: str = "id") -> DataFrame:
     return rows.groupBy(F.col(column).alias("id")).agg(F.count(F.lit(1)).alias("m"))
 
 
+#: Copies that are made from one array; larger multiplicities are cut into spans of so many.
+SPAN = 1 << 16
+
+
+def unfolded(rows: DataFrame, m: str) -> DataFrame:
+    """Each row as often as its column m says, without m; no array grows with a multiplicity's copies."""
+    spans = rows.where(F.col(m) > 0).withColumn("__from", F.explode(F.sequence(F.lit(0).cast("long"), F.col(m) - 1, F.lit(SPAN).cast("long"))))
+    spans = spans.withColumn("__n", F.least(F.lit(SPAN).cast("long"), F.col(m) - F.col("__from")).cast("int"))
+    return spans.withColumn("__copy", F.explode(F.expr("array_repeat(true, __n)"))).drop("__copy", "__n", "__from", m)
+
+
 def copies(bag: DataFrame) -> DataFrame:
     """The bag row by row."""
-    return bag.select(F.explode(F.expr("array_repeat(id, CAST(m AS INT))")).alias("id"))
+    return unfolded(bag, "m").select("id")
 
 
 def intersect(bags: list[DataFrame], combine=F.least) -> DataFrame:
@@ -62,8 +73,8 @@ def union_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     columns = a.columns
     n = a.groupBy(*columns).agg(F.count(F.lit(1)).alias("__m"), F.lit(0).cast("long").alias("__n"))
     m = b.groupBy(*columns).agg(F.lit(0).cast("long").alias("__m"), F.count(F.lit(1)).alias("__n"))
-    both = n.unionAll(m).groupBy(*columns).agg(F.greatest(F.max("__m"), F.max("__n")).cast("int").alias("__k"))
-    return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__k")))).select(*columns)
+    both = n.unionAll(m).groupBy(*columns).agg(F.greatest(F.max("__m"), F.max("__n")).alias("__k"))
+    return unfolded(both, "__k").select(*columns)
 
 
 def merge_runs(runs: list[DataFrame], *by: str) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomgraph.tables import written
+
 
 def subject_object_counts(triples: DataFrame) -> DataFrame:
     """(term, freq) over subjects and objects."""
@@ -22,16 +24,20 @@ def predicate_counts(triples: DataFrame) -> DataFrame:
 def ranked(counts: DataFrame, partitions: int | None = None) -> DataFrame:
     """(term, freq, code): codes from 0 in falling order of count, ties by term, so frequent terms have small codes.
 
-    Rows are range-partitioned in that order and numbered in their partition;
-    partitions then add the rows before them. No window spans all rows.
+    Rows are range-partitioned, sorted and numbered in their partition, once:
+    the table is written, as bounds that are sampled anew for a second reading
+    could part the rows otherwise. Partitions then add the rows before them. No
+    window spans all rows.
     """
     n = partitions or int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = counts.repartitionByRange(n, F.col("freq").desc(), F.col("term")).withColumn("__part", F.spark_partition_id())
-    placed = placed.withColumn("__no", F.row_number().over(Window.partitionBy("__part").orderBy(F.col("freq").desc(), F.col("term"))))
-    ends = placed.groupBy("__part").agg(F.max("__no").alias("__size"), F.min(F.struct((-F.col("freq")).alias("f"), "term")).alias("__first"))
-    # one row for each partition; their order is that of their first rows
-    before = ends.select("__part", F.coalesce(F.sum("__size").over(Window.orderBy("__first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    return placed.join(F.broadcast(before), "__part").select("term", "freq", (F.col("__before") + F.col("__no") - 1).cast("long").alias("code"))
+    order = [F.col("freq").desc(), F.col("term")]
+    # a partition's number in the upper bits, a row's number in its partition in the lower 33
+    placed = written(counts.select("term", "freq").repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    part, low = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    # one row for each partition
+    ends = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__size"))
+    before = ends.select("__part", F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    return placed.withColumn("__part", part).join(F.broadcast(before), "__part").select("term", "freq", (F.col("__before") + low).cast("long").alias("code"))
 
 
 def huffman_codes(counts: list[tuple[str, int]]) -> dict[str, tuple[int, int]]:

@@ -23,14 +23,28 @@ def level_sizes(triples: DataFrame) -> DataFrame:
     )
 
 
-def posting_lists(triples: DataFrame) -> DataFrame:
-    """(p, o, subjects): the sorted subjects of each predicate and object, duplicates included.
+#: Statements in one value at most, on average: longer lists are dealt by hash to several rows.
+MOST = 1 << 18
 
-    A list is one value, so this view is for predicates whose lists fit in a row.
+
+def _parts(triples: DataFrame, by: list[str], spread: list[str], most: int) -> DataFrame:
+    """triples with part: 0 for short lists, a hash of the spread columns for those of more than `most` statements."""
+    long = triples.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > most).select(*by, F.ceil(F.col("__n") / most).alias("__parts"))
+    part = F.coalesce(F.pmod(F.xxhash64(*spread), F.col("__parts")), F.lit(0).cast("long"))
+    return triples.join(long, by, "left").withColumn("part", part).drop("__parts")
+
+
+def posting_lists(triples: DataFrame, most: int = MOST) -> DataFrame:
+    """(p, o, part, subjects): the sorted subjects of each predicate and object, duplicates included.
+
+    A list of more than `most` subjects is dealt to several parts, by subject.
     """
-    return triples.groupBy("p", "o").agg(F.sort_array(F.collect_list("s")).alias("subjects"))
+    return _parts(triples.select("s", "p", "o"), ["p", "o"], ["s"], most).groupBy("p", "o", "part").agg(F.sort_array(F.collect_list("s")).alias("subjects"))
 
 
-def nested(triples: DataFrame) -> DataFrame:
-    """(p, objects): the three levels as nested arrays."""
-    return posting_lists(triples).groupBy("p").agg(F.sort_array(F.collect_list(F.struct("o", "subjects"))).alias("objects"))
+def nested(triples: DataFrame, most: int = MOST) -> DataFrame:
+    """(p, part, objects): the three levels as nested arrays; a predicate of more than `most` statements has several parts, by object and list."""
+    dealt = _parts(triples.select("s", "p", "o"), ["p", "o"], ["s"], most).withColumnRenamed("part", "list")
+    dealt = _parts(dealt, ["p"], ["o", "list"], most)
+    lists = dealt.groupBy("p", "part", "o", "list").agg(F.sort_array(F.collect_list("s")).alias("subjects"))
+    return lists.groupBy("p", "part").agg(F.sort_array(F.collect_list(F.struct("o", "subjects"))).alias("objects"))

@@ -62,24 +62,40 @@ def shared_objects(query: TreeQuery) -> bool:
 
 
 def joined(triples: DataFrame, query: TreeQuery) -> DataFrame:
-    """(id, m) by one join of all patterns, for variables that are shared otherwise than in a tree."""
-    rest, out = list(query.patterns), None
+    """(id, m) by joins of all patterns, for variables that are shared otherwise than in a tree.
+
+    Each pattern is counted before it is joined, and a variable that neither the
+    rest of the patterns nor the root needs is summed away at once.
+    """
+    root, rest, out = f"v_{query.root.label}", list(query.patterns), None
+
+    def variables(pattern: tuple) -> set[str]:
+        return {f"v_{k}" for kind, k in (pattern[0], pattern[2]) if kind == "var"}
+
     while rest:
-        known = set(out.columns) if out is not None else set()
-        pattern = next((x for x in rest if out is None or {f"v_{k}" for kind, k in (x[0], x[2]) if kind == "var"} & known), None)
+        known = set(out.columns) - {"m"} if out is not None else set()
+        pattern = next((x for x in rest if out is None or variables(x) & known), None)
         if pattern is None:
             raise UnsupportedQueryError("Patterns are not connected")
         rest.remove(pattern)
+        needed = {root}.union(*map(variables, rest))
         (_, s), p, (kind, o) = pattern
-        rows = triples.where(F.col("p") == p)
+        rows = triples.where(F.col("p") == p).select(F.col("s").alias(f"v_{s}"), F.col("o").alias("__o"))
         if kind == "const":
-            rows = rows.where(F.col("o") == o).select(F.col("s").alias(f"v_{s}"))
+            rows = rows.where(F.col("__o") == o)
         elif s == o:
-            rows = rows.where(F.col("s") == F.col("o")).select(F.col("s").alias(f"v_{s}"))
+            rows = rows.where(F.col(f"v_{s}") == F.col("__o"))
+        else:
+            rows = rows.withColumnRenamed("__o", f"v_{o}")
+        by = sorted(variables(pattern) & (needed | known))
+        rows = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+        if out is None:
+            out = rows.withColumnRenamed("n", "m")
         else:
-            rows = rows.select(F.col("s").alias(f"v_{s}"), F.col("o").alias(f"v_{o}"))
-        out = rows if out is None else out.join(rows, sorted(known & set(rows.columns)))
-    return bags.counted(out, f"v_{query.root.label}")
+            out = out.join(rows, sorted(known & set(by))).withColumn("m", F.col("m") * F.col("n")).drop("n")
+        if more := set(out.columns) - {"m"} - needed:
+            out = out.groupBy(*sorted(set(out.columns) - {"m"} - more)).agg(F.sum("m").alias("m"))
+    return out.select(F.col(root).alias("id"), "m")
 
 
 def connected(query: TreeQuery) -> bool:

@@ -27,6 +27,13 @@ def rows(answer: DataFrame) -> DataFrame:
     return answer.select(F.concat(F.lit(f'<result><binding name="{escape(name)}">'), inner, F.lit("</binding></result>")).alias("xml"))
 
 
+def document(answer: DataFrame) -> DataFrame:
+    """The document as rows (place, xml): 0 is what comes first, 1 the result elements in any order, 2 what comes last."""
+    spark = answer.sparkSession
+    ends = spark.createDataFrame([(0, HEAD.format(escape(answer.columns[0]))), (2, TAIL)], "place int, xml string")
+    return ends.unionByName(rows(answer).select(F.lit(1).alias("place"), "xml"))
+
+
 def to_xml(answer: DataFrame) -> Iterator[str]:
     """The document in pieces; rows come one partition at a time."""
     yield HEAD.format(escape(answer.columns[0]))

@@ -1,8 +1,10 @@
 """RDF files to statements and back.
 
 Only statements whose subject and object are IRIs are kept; others can be
-counted by kind. N-Triples are read line by line with Spark expressions and are
-splittable; RDF/XML and Turtle files are parsed whole, one task for a file.
+counted by kind. N-Triples and N-Quads are read line by line with Spark
+expressions and are splittable; RDF/XML, Turtle and TriG files are parsed whole,
+one task for a file, so large ones should come as N-Triples. Graph names are
+dropped.
 """
 
 from __future__ import annotations
@@ -20,8 +22,10 @@ from loomgraph.model import RDF_TYPE
 
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 XML = "{http://www.w3.org/XML/1998/namespace}"
-FORMATS = ("ntriples", "turtle", "rdfxml")
-_LINE = r"^\s*(<[^>]*>|_:\S+)\s*(<[^>]*>)\s*(<[^>]*>|_:[^\s.]+|\"(?:[^\"\\]|\\.)*\"(?:@[A-Za-z0-9\-]+|\^\^<[^>]*>)?)\s*\.\s*(?:#.*)?$"
+FORMATS = ("ntriples", "nquads", "turtle", "trig", "rdfxml")
+_STATEMENT = r"^\s*(<[^>]*>|_:\S+)\s*(<[^>]*>)\s*(<[^>]*>|_:[^\s.]+|\"(?:[^\"\\]|\\.)*\"(?:@[A-Za-z0-9\-]+|\^\^<[^>]*>)?)"
+_END = r"\s*\.\s*(?:#.*)?$"
+_LINE, _QUAD = _STATEMENT + _END, _STATEMENT + r"(?:\s*(?:<[^>]*>|_:[^\s.]+))?" + _END
 _UNICODE = r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})"
 
 
@@ -31,19 +35,29 @@ def read(spark: SparkSession, paths: str | list[str], form: str = "rdfxml", patt
     return every.where("s_kind = 'iri' AND o_kind = 'iri'").select("s", "p", "o")
 
 
-def statements(spark: SparkSession, paths: str | list[str], form: str = "rdfxml", pattern: str | None = None) -> DataFrame:
-    """(s, p, o, s_kind, o_kind) of all statements; kinds are iri, blank and literal."""
+def statements(spark: SparkSession, paths: str | list[str], form: str = "rdfxml", pattern: str | None = None, skip_malformed: bool = False) -> DataFrame:
+    """(s, p, o, s_kind, o_kind) of all statements; kinds are iri, blank and literal.
+
+    Malformed lines give none; a malformed file that is parsed whole fails the
+    job, or gives none with skip_malformed.
+    """
     if form not in FORMATS:
         raise ValueError(f"format must be one of {FORMATS}")
     options = {"pathGlobFilter": pattern} if pattern else {}
-    if form == "ntriples":
-        return parse_lines(spark.read.options(**options).text(paths))
-    parse = parse_rdfxml if form == "rdfxml" else parse_turtle
+    if form in ("ntriples", "nquads"):
+        return parse_lines(spark.read.options(**options).text(paths), form == "nquads")
+    parse = {"rdfxml": parse_rdfxml, "turtle": parse_turtle, "trig": parse_trig}[form]
 
     def of_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                yield pd.DataFrame(list(parse(bytes(content).decode("utf-8-sig"), path)), columns=["s", "p", "o", "s_kind", "o_kind"])
+                try:
+                    found = list(parse(bytes(content).decode("utf-8-sig"), path))
+                except (ValueError, ET.ParseError):
+                    if not skip_malformed:
+                        raise
+                    continue
+                yield pd.DataFrame(found, columns=["s", "p", "o", "s_kind", "o_kind"])
 
     files = spark.read.format("binaryFile").options(**options).load(paths).select("path", "content")
     return files.mapInPandas(of_files, "s string, p string, o string, s_kind string, o_kind string")
@@ -54,11 +68,18 @@ def by_kind(every: DataFrame) -> DataFrame:
     return every.groupBy("s_kind", "o_kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-def parse_lines(lines: DataFrame) -> DataFrame:
-    """Statements of N-Triples lines in the column value; comments, blank and malformed lines give none."""
+def line_kinds(lines: DataFrame, graphs: bool = False) -> DataFrame:
+    """(kind, n): how many lines in the column value are a statement, blank (or a comment), or malformed."""
+    kind = F.when(F.col("value").rlike(_QUAD if graphs else _LINE), "statement").when(F.col("value").rlike(r"^\s*(?:#.*)?$"), "blank").otherwise("malformed")
+    return lines.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def parse_lines(lines: DataFrame, graphs: bool = False) -> DataFrame:
+    """Statements of N-Triples lines (graphs: N-Quads) in the column value; comments, blank and malformed lines give none."""
+    form = _QUAD if graphs else _LINE
     kind = lambda c: F.when(c.startswith("<"), "iri").when(c.startswith("_:"), "blank").otherwise("literal")
     plain = lambda c: F.when(c.startswith("<"), _unescaped(F.substr(c, F.lit(2), F.length(c) - 2))).otherwise(c)
-    parts = lines.where(F.col("value").rlike(_LINE)).select(*[F.regexp_extract("value", _LINE, k).alias(c) for k, c in ((1, "s"), (2, "p"), (3, "o"))])
+    parts = lines.where(F.col("value").rlike(form)).select(*[F.regexp_extract("value", form, k).alias(c) for k, c in ((1, "s"), (2, "p"), (3, "o"))])
     return parts.select(*[plain(F.col(c)).alias(c) for c in "spo"], kind(F.col("s")).alias("s_kind"), kind(F.col("o")).alias("o_kind"))
 
 
@@ -156,12 +177,17 @@ _TURTLE = re.compile(
     |(?P<directive>@prefix|@base|PREFIX\b|BASE\b)|(?P<lang>@[A-Za-z]+(?:-[A-Za-z0-9]+)*)|(?P<blank>_:\w[\w\-]*)
     |(?P<number>[+-]?(?:\d+\.\d+|\.\d+|\d+)(?:[eE][+-]?\d+)?)
     |(?P<name>(?:[^\W\d][\w\-.]*)?:(?:(?:[\w\-:%]|\\.)(?:(?:[\w\-:%.]|\\.)*(?:[\w\-:%]|\\.))?)?)
-    |(?P<word>[A-Za-z]+)|(?P<mark>\^\^|[.;,\[\]()])""",
+    |(?P<word>[A-Za-z]+)|(?P<mark>\^\^|[.;,\[\](){}])""",
     re.VERBOSE,
 )
 
 
-def parse_turtle(text: str, base: str = "") -> Iterator[tuple[str, str, str, str, str]]:
+def parse_trig(text: str, base: str = "") -> Iterator[tuple[str, str, str, str, str]]:
+    """Statements of a TriG document: those of all its graphs."""
+    return parse_turtle(text, base, graphs=True)
+
+
+def parse_turtle(text: str, base: str = "", graphs: bool = False) -> Iterator[tuple[str, str, str, str, str]]:
     """Statements of a Turtle document: prefixes, lists of predicates and objects, blank nodes, collections."""
     tokens, at = [], 0
     while at < len(text):
@@ -238,7 +264,7 @@ def parse_turtle(text: str, base: str = "") -> Iterator[tuple[str, str, str, str
                 return
             while take("mark", ";"):
                 pass
-            if tokens[place][1] in (".", "]"):
+            if tokens[place][1] in (".", "]", "}"):
                 return
 
     while tokens[place][0] != "end":
@@ -251,10 +277,17 @@ def parse_turtle(text: str, base: str = "") -> Iterator[tuple[str, str, str, str
                 base = resolved(take("iri"))
             take("mark", ".")
             continue
+        if graphs and (take("mark", "{") or take("mark", "}")):
+            continue
+        if graphs and tokens[place][1].upper() == "GRAPH" and take("word"):
+            term()
+            continue
         anonymous = tokens[place] == ("mark", "[")
         s, kind = term()
+        if graphs and take("mark", "{"):
+            continue
         if not (anonymous and tokens[place] == ("mark", ".")):
             pairs(s, kind)
-        if not take("mark", "."):
+        if not take("mark", ".") and not (graphs and tokens[place] == ("mark", "}")):
             raise ValueError(f"expected a full stop, found {tokens[place][1]!r}")
     yield from out

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from loomgraph.model import CODED, DICTIONARY, PatternNode, TreeQuery
 from loomgraph.operators import bags, dictionary
 from loomgraph.plans import compiler, sparql
+from loomgraph.tables import written
 
 #: With more predicates than this, statements are only range-partitioned: a directory each would be too many.
 MOST_DIRECTORIES = 1000
@@ -31,13 +32,16 @@ class Store:
 
     @classmethod
     def build(cls, triples: DataFrame, dedupe: bool = False) -> Store:
-        """A store of (s, p, o) terms; dedupe keeps one copy of each statement."""
+        """A store of (s, p, o) terms; dedupe keeps one copy of each statement.
+
+        Its three tables are written to the shared folder, so queries neither rank nor encode again.
+        """
         given = triples.select("s", "p", "o")
         if dedupe:
             given = given.distinct()
-        terms = dictionary.ranked(dictionary.subject_object_counts(given))
-        predicates = dictionary.ranked(dictionary.predicate_counts(given))
-        return cls(dictionary.encode(given, terms, predicates), terms, predicates)
+        terms = written(dictionary.ranked(dictionary.subject_object_counts(given)))
+        predicates = written(dictionary.ranked(dictionary.predicate_counts(given)))
+        return cls(written(dictionary.encode(given, terms, predicates)), terms, predicates)
 
     def save(self, path: str, mode: str = "error") -> None:
         self.terms.write.mode(mode).parquet(f"{path}/terms")

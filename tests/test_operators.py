@@ -74,6 +74,32 @@ def test_ranks_and_codes(spark):
     assert dictionary.ranked(counts.limit(0)).count() == 0
 
 
+def test_ranks_without_reused_exchanges(spark):
+    counts = spark.range(3000).selectExpr("concat('t', id % 1500) AS term").groupBy("term").agg(F.count(F.lit(1)).alias("freq"))
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        assert sorted(r["code"] for r in dictionary.ranked(counts, 7).collect()) == list(range(1500))
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+
+
+def test_large_multiplicities_are_cut_into_spans(spark, monkeypatch):
+    monkeypatch.setattr(bags, "SPAN", 8)
+    bag = spark.createDataFrame([("a", 8), ("b", 9), ("c", 0), ("d", 25)], "id string, m long")
+    assert Counter(r["id"] for r in bags.copies(bag).collect()) == Counter(a=8, b=9, d=25)
+
+
+def test_long_lists_have_several_parts(spark):
+    rows = [(f"s{k % 40}", "p", "o") for k in range(90)] + [("x", "p", f"o{k}") for k in range(50)] + [("y", "q", "o")]
+    triples = spark.createDataFrame(rows, "s string, p string, o string")
+    lists = index.posting_lists(triples, most=20).collect()
+    assert Counter((s, r["p"], r["o"]) for r in lists for s in r["subjects"]) == Counter(rows)
+    assert sum((r["p"], r["o"]) == ("p", "o") for r in lists) > 2 and all(r["subjects"] == sorted(r["subjects"]) for r in lists)
+    made = index.nested(triples, most=20).collect()
+    assert Counter((s, r["p"], x["o"]) for r in made for x in r["objects"] for s in x["subjects"]) == Counter(rows)
+    assert len([r for r in made if r["p"] == "p"]) > 3 and len([r for r in made if r["p"] == "q"]) == 1
+
+
 def test_huffman_is_prefix_free_and_optimal():
     codes = dictionary.huffman_codes([("a", 5), ("b", 9), ("c", 12), ("d", 13), ("e", 16), ("f", 45)])
     assert sum(n * codes[t][1] for t, n in [("a", 5), ("b", 9), ("c", 12), ("d", 13), ("e", 16), ("f", 45)]) == 224

@@ -63,6 +63,24 @@ def test_turtle(spark, files):
     assert got == Counter([("http://e/a", "http://e/p", "http://e/b"), ("http://e/a", "http://e/q", "http://e/c"), ("http://f/x", "http://www.w3.org/1999/02/22-rdf-syntax-ns#type", "http://e/T")])
 
 
+def test_trig_and_nquads(spark, files, tmp_path):
+    (tmp_path / "a.trig").write_text("@prefix e: <http://e/> .\n{ e:a e:p e:b . e:c e:p e:d } e:g { e:a e:p e:b ; e:q e:c } GRAPH <http://e/h> { e:z e:p e:y . } e:k e:p e:l .")
+    e = lambda *x: tuple(f"http://e/{y}" for y in x)
+    assert rows(rdf.read(spark, f"{tmp_path}/a.trig", "trig")) == Counter([e(*"apb"), e(*"cpd"), e(*"apb"), e(*"aqc"), e(*"zpy"), e(*"kpl")])
+    (tmp_path / "a.nq").write_text("<u:a> <u:p> <u:b> <u:g> .\n<u:a> <u:p> <u:b> .\n<u:a> <u:p> <u:b> _:g . # c\n<u:a> <u:p> .\n\n")
+    assert rows(rdf.read(spark, f"{tmp_path}/a.nq", "nquads")) == Counter({("u:a", "u:p", "u:b"): 3})
+    kinds = rdf.line_kinds(spark.read.text(f"{tmp_path}/a.nq"), graphs=True).collect()
+    assert {r["kind"]: r["n"] for r in kinds} == {"statement": 3, "malformed": 1, "blank": 1}
+
+
+def test_malformed_files(spark, tmp_path):
+    (tmp_path / "good.ttl").write_text("<u:a> <u:p> <u:b> .")
+    (tmp_path / "bad.ttl").write_text("<u:a> <u:p> .")
+    assert rdf.statements(spark, str(tmp_path), "turtle", skip_malformed=True).count() == 1
+    with pytest.raises(Exception, match="unexpected"):
+        rdf.statements(spark, str(tmp_path), "turtle").count()
+
+
 def test_rdfxml_by_file_name(spark, files):
     got = rows(rdf.read(spark, str(files), "rdfxml", "*.owl"))
     kind = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
@@ -128,3 +146,20 @@ def test_streamed_batches_merge(spark, tmp_path):
     assert rows(merged.current()) == Counter({("u:a", "u:p", "u:b"): 2, ("u:c", "u:p", "u:d"): 1})
     merged.merge(spark.createDataFrame([("z", "z", "z")], "s string, p string, o string"), 0)
     assert rows(merged.current())[("z", "z", "z")] == 0
+    before = rows(merged.current())
+    merged.compact()
+    assert rows(merged.current()) == before
+    merged.merge(spark.createDataFrame([("u:c", "u:p", "u:d")] * 2, "s string, p string, o string"), 7)
+    merged.merge(spark.createDataFrame([("z", "z", "z")], "s string, p string, o string"), 1)
+    assert rows(merged.current()) == Counter({("u:a", "u:p", "u:b"): 2, ("u:c", "u:p", "u:d"): 2})
+
+
+def test_no_local_folder_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from loomgraph.tables import shared_folder
+
+    conf = SimpleNamespace(get=lambda key, default: default)
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        shared_folder(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077")))
+    assert shared_folder(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="local[8]"))).startswith("file:")
