@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,45 +9,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomgraph.tables import forget, new_path, shared_folder, written
+
+__all__ = ["WORD", "by_batches", "forget", "n_words", "new_path", "renamed", "shared_folder", "table", "written"]
+
 #: A word: a run of code points other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Where shared files go if the session names no folder, as in tests.
-OWN_SHARED = "file:///tmp/loomgraph-shared"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, named by spark.checkpoint.dir."""
-    return spark.conf.get("spark.checkpoint.dir", None) or OWN_SHARED
-
-
-def written(df: DataFrame, *by: str) -> DataFrame:
-    """df as Parquet in the shared folder, read back: cuts the lineage and outlives executors.
-
-    The files go when the session's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/loomgraph-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(*frames: DataFrame) -> None:
-    """Deletes tables made by written() that nothing will read again."""
-    for df in frames:
-        jvm = df.sparkSession._jvm
-        for file in df.inputFiles()[:1]:
-            where = jvm.org.apache.hadoop.fs.Path(file).getParent()
-            if where.getName().startswith("loomgraph-"):
-                where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def n_words(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -2,29 +2,33 @@
 
 A document's set holds the hashes of its distinct shingles, and its signature
 the set's smallest token under each of HASHES hash functions; its sketch is one
-byte of each of these. Documents with equal sets are one class, whose smallest
-id stands for it. Trees of minwise tokens are grown over these representatives:
-in TREES independent trees a root has BRANCHES paths of two chosen tokens, so a
-document goes to one child for each; nodes of more than LEAF documents branch
-again, DEPTH times at most. Nodes of LEAF documents are compared exhaustively
-by sketch; what is alike enough there is confirmed on the full sets. Two
-documents of similarity s share none of the paths with odds of
-(1 - s^2)^(TREES * BRANCHES): 2e-7 at 0.85, 5e-6 at 0.8. Each path branches by
-places of its own, so where all shared roots branch the odds are those of
-(1 - s^2 (1 - (1 - s)^BRANCHES))^(TREES * BRANCHES): 4e-7 and 1.1e-5.
+byte of each of these. Documents with equal sets are one class, named by a hash
+of the set. Trees of minwise tokens are grown over the classes: in TREES
+independent trees a root has ROOTS paths of two chosen tokens, so a class goes
+to one child for each. Small nodes, of LEAF classes at most, are compared
+exhaustively by sketch; what is alike enough there is confirmed on the full
+sets. Members of large nodes are first linked to the node's centre, the member
+that agrees most with the node's most common sketch, in chunks. Then:
+
+* a node whose members all have one component is settled and dropped;
+* a node with CHUNK members at most outside its main component is compared:
+  the main component's members need not meet each other, so pieces of them meet
+  the others. A piece and the others are at most about 2 CHUNK rows, and all
+  pieces together at most twice the node;
+* every other node branches by one more chosen token, by two on every second
+  level (BRANCHING), however it is made up, until all nodes are of these kinds.
+  What is left after DEPTH levels is compared piece with piece, which is exact.
+
+Two classes of similarity s share none of the paths with odds of
+(1 - s^2)^(TREES * ROOTS): 2e-7 at 0.85, 5e-6 at 0.8. If all nodes branched to
+any depth, the odds would stay below 6e-5 and 3e-3 (`loss` gives them; paths
+choose among HASHES places, each path its own, so they are nearly independent).
 Sketches, the same for all nodes, rule out a pair at the threshold with odds of
 1e-7 at 0.85 and 1e-6 at 0.8 (bytes that are equal by chance only help).
 
-Large groups of near copies never meet pair by pair: first the large nodes of
-STARRED paths are linked to their centres, the members that agree most with a
-node's most common sketch. Then nodes whose members all have one component are
-settled and dropped, and in a large node that is left the members of its main
-component are compared with the others only, in chunks, while that makes rows
-in proportion to the node. Where that would be more even at the last level,
-chunks are compared with chunks, which is exact.
-
 Only links needed to connect components are kept, so results do not grow with
-the square of a group.
+the square of a group. Sets that meet for confirmation hold TOKENS tokens at
+most at a time, if no single one holds more.
 
 Defined cases: a null or empty text, or one without words, has an empty set and
 is linked with nothing; equal rows are in one class; rows with one doc_id and
@@ -41,16 +45,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from loomgraph.llm.common import by_batches, written
+from loomgraph.llm.common import WORD, by_batches, forget, written
 from loomgraph.llm.components import components
 
-HASHES, TREES, BRANCHES, DEPTH, LEAF, CHUNK, STARRED = 128, 6, 2, 2, 64, 256, 3
+HASHES, TREES, ROOTS, DEPTH, LEAF, CHUNK = 128, 6, 2, 24, 64, 2048
+#: Chosen tokens by which a node branches on the first, second, third ... level below the roots, repeating.
+BRANCHING = (1, 2)
 #: What a pair's share of equal places may lie below the threshold to be confirmed on full sets: 5 deviations or more.
 ALIKE_SLACK = 0.18
 SAMPLE = 256  # members that a large node's most common sketch is taken from
-SPREAD_ROWS = 4  # rows that a large node may make for each member when its main component meets the others
+SALTS = 16  # tasks at least that the rows of one node are dealt to where they meet what is known of it
+TOKENS = 1 << 22  # tokens of the sets that meet in one block
 _rng = np.random.default_rng(20_240_611)
 _BYTES = _rng.integers(1, 2**64, 256, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -111,28 +117,46 @@ def sketch(places: np.ndarray) -> bytes:
     return (places & np.uint32(0xFF)).astype(np.uint8).tobytes()
 
 
-def described(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, two fingerprints of the set, signature, sketch."""
+def loss(similarity: float, levels: int) -> float:
+    """Odds that two sets of a similarity meet in no node if all their nodes branch on so many levels."""
+    gone = 0.0
+    for level in reversed(range(levels)):
+        gone = (1 - similarity + similarity * gone) ** BRANCHING[level % len(BRANCHING)]
+    return (1 - similarity**2 * (1 - gone)) ** (TREES * ROOTS)
+
+
+def _name(tokens: np.ndarray) -> int:
+    """64 bits that tell a set; with its size they name its class."""
+    total = tokens.sum(dtype=np.uint64) * _PLACES[62] + _mixed(tokens * _PLACES[63]).sum(dtype=np.uint64)
+    return int(_mixed(np.array([total], dtype=np.uint64)).view(np.int64)[0])
+
+
+def rows_of(docs: DataFrame) -> DataFrame:
+    """doc_id, row_key (a hash of id and text) and text of each row."""
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return given.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text")
+
+
+def described(rows: DataFrame, words: int) -> DataFrame:
+    """doc_id, row_key, n_shingles, the class, signature and sketch of its set."""
 
     def make():
         def of(texts: pa.Array) -> list[pa.Array]:
-            n, first, second, signatures, sketches = [], [], [], [], []
+            n, names, signatures, sketches = [], [], [], []
             with np.errstate(over="ignore"):
                 for text in texts:
                     tokens = shingle_set(text.as_py(), words)
                     n.append(len(tokens))
-                    first.append(int(tokens.sum(dtype=np.uint64)))
-                    second.append(int(_mixed(tokens * _PLACES[63]).sum(dtype=np.uint64)))
+                    names.append(_name(tokens))
                     places = signature(tokens)
                     signatures.append(places.tobytes())
                     sketches.append(sketch(places))
-            signed = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64), pa.int64())
-            return [pa.array(n, pa.int64()), signed(first), signed(second), pa.array(signatures, pa.binary()), pa.array(sketches, pa.binary())]
+            return [pa.array(n, pa.int64()), pa.array(names, pa.int64()), pa.array(signatures, pa.binary()), pa.array(sketches, pa.binary())]
 
         return of
 
-    fields = [T.StructField(c, T.LongType()) for c in ("n_shingles", "print1", "print2")] + [T.StructField(c, T.BinaryType()) for c in ("signature", "sketch")]
-    return by_batches(docs, fields, make, ["doc_id"])
+    fields = [T.StructField("n_shingles", T.LongType()), T.StructField("class", T.LongType()), T.StructField("signature", T.BinaryType()), T.StructField("sketch", T.BinaryType())]
+    return by_batches(rows, fields, make, ["doc_id", "row_key"])
 
 
 def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -177,88 +201,106 @@ class _Union:
         return a != b
 
 
-def _alike(n: np.ndarray, sketches: np.ndarray, component: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (i < j) of different components with alike sketches, most alike first."""
-    found = []
-    for i in range(len(n) - 1):
-        js = np.flatnonzero((component[i + 1 :] != component[i]) & (np.minimum(n[i], n[i + 1 :]) >= (least - 1e-9) * np.maximum(n[i], n[i + 1 :]))) + i + 1
+def _alike(n: np.ndarray, sketches: np.ndarray, component: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Members with an alike sketch in another component, and for each a label of those that hang together."""
+    _, own, sizes = np.unique(component, return_inverse=True, return_counts=True)
+    # a byte of all sketches after the other, so that equal ones are summed in few passes
+    columns, need = np.ascontiguousarray(sketches.T), int(np.ceil((least - ALIKE_SLACK) * HASHES))
+    label, involved = np.arange(len(n)), np.zeros(len(n), dtype=bool)
+    for i in np.flatnonzero(own != sizes.argmax()):
+        equal = (columns == columns[:, i : i + 1]).view(np.uint8).sum(axis=0, dtype=np.uint8)
+        js = np.flatnonzero((equal >= need) & (own != own[i]) & (np.minimum(n[i], n) >= (least - 1e-9) * np.maximum(n[i], n)))
         if len(js):
-            equal = (sketches[js] == sketches[i]).sum(axis=1)
-            good = equal >= (least - ALIKE_SLACK) * HASHES
-            found.append((np.full(int(good.sum()), i), js[good], equal[good]))
-    if not found:
-        none = np.zeros(0, dtype=np.int64)
-        return none, none, none
-    i, j, equal = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.argsort(-equal, kind="stable")
-    return i[order], j[order], equal[order]
+            involved[i] = involved[js] = True
+            joined = np.unique(np.append(label[js], label[i]))
+            if len(joined) > 1:
+                label[np.isin(label, joined)] = joined[0]
+    some = np.flatnonzero(involved)
+    return some, label[some]
 
 
 def _ordered(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(key).sortWithinPartitions(key)
 
 
+def _parts(n: np.ndarray) -> list[np.ndarray]:
+    """Places of sets of sizes n, as they may meet: all together, or part with part where they hold more than TOKENS."""
+    if n.sum() <= TOKENS:
+        return [np.arange(len(n))]
+    part = (np.cumsum(n) - n) // (TOKENS // 2)
+    each = [np.flatnonzero(part == k) for k in np.unique(part)]
+    return [np.concatenate([a, b]) if a is not b else a for k, a in enumerate(each) for b in (each[k + 1 :] or [a])]
+
+
 def _to_confirm(nodes: DataFrame, least: float) -> DataFrame:
     """Of (node, doc, component, n_shingles, sketch): (block, doc, component) to confirm on full sets.
 
-    A node's documents with alike ones of another component fall into blocks of
+    A node's members with alike ones of another component fall into blocks of
     those that hang together; equal blocks of several nodes are one.
     """
 
+    def rows(found: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        sizes = [len(d) for _, d, _ in found]
+        columns = [np.repeat(np.array([b for b, _, _ in found], dtype=np.int64), sizes), *(np.concatenate([np.zeros(0, dtype=np.int64), *(x[k] for x in found)]) for k in (1, 2))]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["block", "doc", "component"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int, int]] = []
+        out: list[tuple[int, np.ndarray, np.ndarray]] = []
         for table in _groups(batches, "node"):
             doc, component = _numbers(table, "doc"), _numbers(table, "component")
             if len(doc) < 2 or (component == component[0]).all():
                 continue
-            i, j, _ = _alike(_numbers(table, "n_shingles"), _sketches(table), component, least)
-            if not len(i):
-                continue
-            # one pair of components may be alike through many members: all of them go
-            union = _Union(np.arange(len(doc)))
-            for a, b in zip(i.tolist(), j.tolist(), strict=True):
-                union.join(a, b)
-            members: dict[int, list[int]] = {}
-            for k in sorted({*i.tolist(), *j.tolist()}):
-                members.setdefault(union.find(k), []).append(k)
-            for ks in members.values():
-                ids = np.sort(doc[ks]).astype(np.uint64)
-                with np.errstate(over="ignore"):
-                    block = int(_mixed(_mixed(ids + np.uint64(1)) * _PLACES[np.arange(len(ids)) % 64]).sum(dtype=np.uint64).view(np.int64))
-                out += [(block, int(doc[k]), int(component[k])) for k in ks]
-            if len(out) > 20_000:
-                yield _rows(out)
+            n = _numbers(table, "n_shingles")
+            some, label = _alike(n, _sketches(table), component, least)
+            for value in np.unique(label):
+                ks = some[label == value]
+                ks = ks[np.argsort(doc[ks])]
+                for part in _parts(n[ks]):
+                    own = ks[part]
+                    with np.errstate(over="ignore"):
+                        block = int(_mixed(_mixed(doc[own].astype(np.uint64) + np.uint64(1)) * _PLACES[np.arange(len(own)) % 64]).sum(dtype=np.uint64).view(np.int64))
+                    out.append((block, doc[own], component[own]))
+            if sum(len(d) for _, d, _ in out) > 20_000:
+                yield rows(out)
                 out = []
-        yield _rows(out)
-
-    def _rows(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True)) or [(), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["block", "doc", "component"])
+        yield rows(out)
 
     return _ordered(nodes, "node").mapInArrow(run, "block long, doc long, component long").distinct()
 
 
 def _confirmed(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of the blocks' documents that full sets confirm, as many as join components."""
+    """Links (a, b) of the blocks' members that full sets confirm, as many as join components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, "block"):
-            doc, component = _numbers(table, "doc"), _numbers(table, "component")
+            doc, links = _numbers(table, "doc"), []
             tokens = [np.frombuffer(x, dtype="<u8") for x in table.column("tokens").to_pylist()]
-            union = _Union(component)
-            i, j, _ = _alike(np.array(list(map(len, tokens))), _sketches(table), component, percent / 100)
-            links = []
-            for a, b in zip(i.tolist(), j.tolist(), strict=True):
-                if union.find(int(component[a])) == union.find(int(component[b])):
+            n = np.array(list(map(len, tokens)))
+            starts = np.cumsum(n) - n
+            # tokens as numbers of the block's own vocabulary: one set is marked in it, and all are counted at once
+            vocabulary, number = np.unique(np.concatenate(tokens), return_inverse=True)
+            marked = np.zeros(len(vocabulary), dtype=bool)
+            _, label, sizes = np.unique(_numbers(table, "component"), return_inverse=True, return_counts=True)
+            for i in np.flatnonzero(label != sizes.argmax()):
+                js = np.flatnonzero((label != label[i]) & (100 * np.minimum(n[i], n) >= percent * np.maximum(n[i], n)))
+                if not len(js):
                     continue
-                shared = len(np.intersect1d(tokens[a], tokens[b], assume_unique=True))
-                if 100 * shared >= percent * (len(tokens[a]) + len(tokens[b]) - shared):
-                    union.join(int(component[a]), int(component[b]))
-                    links.append((int(doc[a]), int(doc[b])))
+                own = number[starts[i] : starts[i] + n[i]]
+                marked[own] = True
+                if 4 * len(js) > len(n):
+                    shared = np.add.reduceat(marked[number], starts, dtype=np.int64)[js]
+                else:
+                    shared = np.array([np.count_nonzero(marked[number[starts[j] : starts[j] + n[j]]]) for j in js])
+                marked[own] = False
+                good = js[100 * shared >= percent * (n[i] + n[js] - shared)]
+                if len(good):
+                    joined, first = np.unique(label[good], return_index=True)
+                    links += [(int(doc[i]), int(doc[j])) for j in good[first]]
+                    label[np.isin(label, joined)] = label[i]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     # what is wanted grows with the corpus, so it is not broadcast while it is small either
-    known = blocks.hint("shuffle_merge").join(sets, blocks["doc"] == sets["rep"]).select("block", "doc", "component", "sketch", "tokens")
+    known = blocks.hint("shuffle_merge").join(sets, blocks["doc"] == sets["rep"]).select("block", "doc", "component", "tokens")
     return _ordered(known, "block").mapInArrow(run, "a long, b long")
 
 
@@ -268,16 +310,15 @@ def _token(signature: Column, place: int) -> Column:
 
 def _roots(signature: Column) -> Column:
     """The paths of two chosen tokens: (path number, node)."""
-    paths = range(TREES * BRANCHES)
+    paths = range(TREES * ROOTS)
     return F.explode(F.array(*[F.struct(F.lit(k).alias("path"), F.xxhash64(F.lit(k), _token(signature, 2 * k), _token(signature, 2 * k + 1)).alias("node")) for k in paths]))
 
 
 def _branches(depth: int, path: Column, node: Column, signature: Column) -> Column:
-    """A node's children (path, node): its path and one more chosen token each, at places of that path alone."""
-    paths = [TREES * BRANCHES * BRANCHES**d for d in range(depth + 1)]
-    first = 2 * paths[0] + sum(paths[1:depth])
-    child = [path * BRANCHES + k for k in range(BRANCHES)]
-    token = [signature.substr(4 * F.pmod(first + c, F.lit(HASHES)) + 1, F.lit(4)) for c in child]
+    """A node's children (path, node): its path and one more chosen token each, at a place of that path alone."""
+    used = 2 * TREES * ROOTS
+    child = [path * n + k for n in [BRANCHING[(depth - 1) % len(BRANCHING)]] for k in range(n)]
+    token = [signature.substr(4 * (used + F.pmod(F.xxhash64(F.lit(depth), c), F.lit(HASHES - used))).cast("int") + 1, F.lit(4)) for c in child]
     return F.explode(F.array(*[F.struct(c.alias("path"), F.xxhash64(F.lit(depth), c, node, t).alias("node")) for c, t in zip(child, token, strict=True)]))
 
 
@@ -308,23 +349,36 @@ def _centres(nodes: DataFrame, sizes: DataFrame) -> DataFrame:
 
     made = _ordered(some.select("node", "sketch"), "node").mapInArrow(common, "node long, common binary")
     judged = nodes.join(made, "node").select("node", "doc", "sketch", "common").mapInArrow(agree, "node long, doc long, equal long")
-    return judged.groupBy("node").agg(F.max_by("doc", F.struct("equal", -F.col("doc"))).alias("centre"))
+    return judged.groupBy("node").agg(F.max_by("doc", F.struct("equal", "doc")).alias("centre"))
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """rep, sketch, tokens (the sorted set) of the wanted documents, written."""
+def _sets(rows: DataFrame, reps: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """rep and tokens (the sorted set) of the wanted classes, written."""
 
     def make():
+        last: list = [None]
+
         def of(texts: pa.Array) -> list[pa.Array]:
+            names, tokens = [], []
             with np.errstate(over="ignore"):
-                tokens = [shingle_set(t.as_py(), words) for t in texts]
-                sketches = [sketch(signature(x)) for x in tokens]
-            return [pa.array(sketches, pa.binary()), pa.array([x.astype("<u8").tobytes() for x in tokens], pa.binary())]
+                for text in texts:
+                    text = text.as_py()
+                    if text == last[0]:  # a repeated row: the join puts it after the first
+                        names.append(None)
+                        tokens.append(None)
+                        continue
+                    last[0] = text
+                    found = shingle_set(text, words)
+                    names.append(_name(found))
+                    tokens.append(found.astype("<u8").tobytes())
+            return [pa.array(names, pa.int64()), pa.array(tokens, pa.binary())]
 
         return of
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted.withColumnRenamed("doc", "rep").hint("shuffle_merge"), "rep")
-    return written(by_batches(texts, [T.StructField("sketch", T.BinaryType()), T.StructField("tokens", T.BinaryType())], make, ["rep"]))
+    keys = wanted.join(reps.select(F.col("rep").alias("doc"), "row_key"), "doc").select(F.col("doc").alias("rep"), "row_key")
+    texts = rows.select("row_key", "text").join(keys.hint("shuffle_merge"), "row_key")
+    made = by_batches(texts, [T.StructField("class", T.LongType()), T.StructField("tokens", T.BinaryType())], make, ["rep"])
+    return written(made.where(F.col("class") == F.col("rep")).drop("class"))
 
 
 def _chunked(starred: DataFrame) -> DataFrame:
@@ -335,78 +389,98 @@ def _chunked(starred: DataFrame) -> DataFrame:
     return dealt.select("block", "doc").union(heads).withColumn("component", F.col("doc"))
 
 
-def _unsettled(large: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
-    """What is left of large nodes (node, doc, path): nodes (node, doc, component) to compare exhaustively."""
+def _unsettled(large: DataFrame, reps: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Of large nodes (node, doc, path): what to compare exhaustively (node, doc, component), and the tables that it is read from."""
     current = large.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    every = None
+    every, tables = None, []
+    zero, salt = F.lit(0).cast("long"), F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")
     for depth in range(1, DEPTH + 1):
         # members by component first, so a hot node is summed before it is shuffled
         by_component = current.groupBy("node", "component").agg(F.count(F.lit(1)).alias("n"))
         stats = by_component.groupBy("node").agg(F.sum("n").alias("size"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        held = written(current.join(stats, "node"))
-        zero = F.lit(0).cast("long")
-        others, pieces = F.col("size") - F.col("most"), F.ceil(F.col("most") / CHUNK)
-        is_split = (others <= LEAF) | (others * pieces <= SPREAD_ROWS * F.col("size"))
-        # the main component's members in pieces, each with all the others; a small node is one piece
-        own = F.array(F.when(F.col("size") <= LEAF, zero).otherwise(F.pmod(F.xxhash64("doc"), pieces)))
-        to = F.when((F.col("component") == F.col("main")) | (F.col("size") <= LEAF), own).otherwise(F.sequence(zero, pieces - 1))
-        # at the last level, what does not split is compared piece with piece
+        salted = stats.drop("parts").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        held = written(current.withColumn("salt", salt).join(salted, ["node", "salt"]).drop("salt"))
+        tables.append(held)
+        # the main component's members in pieces, each with all the others
+        few, pieces = F.col("size") - F.col("most") <= CHUNK, F.ceil(F.col("most") / CHUNK)
+        to = F.when(F.col("component") == F.col("main"), F.array(F.pmod(F.xxhash64("doc"), pieces))).otherwise(F.sequence(zero, pieces - 1))
+        # after the last level, piece with piece
         blocks = F.ceil(F.col("size") / CHUNK)
         mine = F.pmod(F.xxhash64("doc"), blocks)
         pairs = F.transform(F.sequence(zero, blocks - 1), lambda x: F.least(mine, x) * 1_000_003 + F.greatest(mine, x) + 1_000)
-        shown = held if depth == DEPTH else held.where(is_split)
-        part = shown.withColumn("piece", F.explode(F.when(is_split, to).otherwise(pairs))).select(F.xxhash64("node", "piece").alias("node"), "doc", "component")
+        shown = held if depth == DEPTH else held.where(few)
+        part = shown.withColumn("piece", F.explode(F.when(few, to).otherwise(pairs))).select(F.xxhash64("node", "piece").alias("node"), "doc", "component")
         every = part if every is None else every.union(part)
-        if depth < DEPTH:
-            signed = held.where(~is_split).select("node", "doc", "component", "path").join(reps.select(F.col("rep").alias("doc"), "signature"), "doc")
-            current = signed.select("doc", "component", _branches(depth, F.col("path"), F.col("node"), F.col("signature")).alias("at")).select("doc", "component", "at.path", "at.node")
-    return every
+        rest = held.where(~few)
+        if depth == DEPTH or rest.isEmpty():
+            return every, tables
+        signed = rest.select("node", "doc", "component", "path").join(reps.select(F.col("rep").alias("doc"), "signature"), "doc")
+        current = signed.select("doc", "component", _branches(depth, F.col("path"), F.col("node"), F.col("signature")).alias("at")).select("doc", "component", "at.path", "at.node")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row for each document."""
-    least = percent / 100
-    known = written(described(docs, words))
-    linked = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
-    same = ["n_shingles", "print1", "print2"]
-    first_of = F.min_by(F.struct("doc_id", "signature", "sketch"), F.col("doc_id"))
-    firsts = known.where(linked).groupBy(*same).agg(first_of.alias("r"))
-    reps = written(firsts.select(F.col("r.doc_id").cast("long").alias("rep"), *same, F.col("r.signature").alias("signature"), F.col("r.sketch").alias("sketch")))
+def _classes(docs: DataFrame, words: int, percent: int, usable: Column) -> tuple[DataFrame, DataFrame]:
+    """A row for each of docs (doc_id, row_key, n_shingles, class), and (class, n_shingles, first) for the classes of usable rows.
+
+    first is the least row of the class's component: (no_id, doc_id, row_key), rows without id last.
+    """
+    least, given = percent / 100, rows_of(docs)
+    known = written(described(given, words))
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
+    firsts = known.where(usable & (F.col("n_shingles") > 0)).groupBy("class", "n_shingles").agg(F.min_by(F.struct(row.alias("first"), "signature", "sketch"), row).alias("r"))
+    reps = written(firsts.select(F.col("class").alias("rep"), "n_shingles", F.col("r.first").alias("first"), F.col("r.first.row_key").alias("row_key"), F.col("r.signature").alias("signature"), F.col("r.sketch").alias("sketch")))
     told = reps.select(F.col("rep").alias("doc"), "n_shingles", "sketch")
     roots = written(reps.select(F.col("rep").alias("doc"), _roots(F.col("signature")).alias("at")).select("doc", "at.path", "at.node"))
     sizes = roots.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     nodes = written(roots.join(sizes, "node"))
+    forget(roots)
 
     # small nodes are compared exhaustively; members of large ones with the centre of their node, in chunks
     small = nodes.where(F.col("size") <= LEAF).select("node", "doc")
     large = nodes.where(F.col("size") > LEAF).select("node", "doc", "path", "size")
-    starred = large.where(F.col("path") < STARRED)
-    centres = _centres(starred.select("node", "doc").join(told, "doc"), starred.select("node", "size").distinct())
-    chunks = _chunked(starred.join(centres, "node").where("doc != centre").select("centre", "doc").distinct()).select(F.col("block").alias("node"), "doc")
+    centres = _centres(large.select("node", "doc").join(told, "doc"), large.select("node", "size").distinct())
+    chunks = _chunked(large.join(centres, "node").where("doc != centre").select("centre", "doc").distinct()).select(F.col("block").alias("node"), "doc")
     met = small.union(chunks).withColumn("component", F.col("doc")).join(told, "doc")
     alike = written(_to_confirm(met, least))
-    sets = _sets(docs, alike.select("doc").distinct(), words)
+    sets = _sets(given, reps, alike.select("doc").distinct(), words)
     first = written(_confirmed(alike, sets, percent))
     labels = components(first)
 
     # what these links leave open in large nodes
-    left = written(_to_confirm(_unsettled(large.select("node", "doc", "path"), reps, labels).join(told, "doc"), least))
-    more = left.select("doc").distinct().join(sets.select(F.col("rep").alias("doc")), "doc", "left_anti")
-    second = _confirmed(left, sets.unionByName(_sets(docs, more, words)), percent)
-    labels = components(first.union(second))
-    members = reps.join(labels, reps["rep"] == labels["node"], "left").select(*same, F.coalesce("component", "rep").alias("component_id"))
-    joined = known.select("doc_id", *same).withColumn("__linked", linked).join(members, same, "left")
-    component = F.when(F.col("__linked"), F.col("component_id")).otherwise(F.col("doc_id"))
+    open_, tables = _unsettled(large.select("node", "doc", "path"), reps, labels)
+    left = written(_to_confirm(open_.join(told, "doc"), least))
+    more = _sets(given, reps, left.select("doc").distinct().join(sets.select(F.col("rep").alias("doc")), "doc", "left_anti"), words)
+    second = written(_confirmed(left, sets.unionByName(more), percent))
+    final = components(first.union(second))
+
+    # a component's least row; classes without links are components of their own
+    linked = final.join(reps.select(F.col("rep").alias("node"), "first"), "node")
+    leasts = linked.groupBy("component").agg(F.min("first").alias("least"))
+    found = final.join(leasts, "component").select(F.col("node").alias("rep"), "least")
+    classes = written(reps.join(found, "rep", "left").select(F.col("rep").alias("class"), "n_shingles", F.coalesce("least", "first").alias("first")))
+    rows = written(known.select("doc_id", "row_key", "n_shingles", "class"))
+    forget(known, reps, nodes, alike, sets, first, labels, *tables, left, more, second, final)
+    return rows, classes
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row for each document."""
+    rows, classes = _classes(docs, words, percent, F.col("doc_id").isNotNull())
+    joined = rows.join(classes, ["class", "n_shingles"], "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.col("first.doc_id"), F.col("doc_id")))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each group of near-duplicates; columns as they are.
+    """docs with one row of each group of near-duplicates; columns as they are.
 
-    Rows that share a doc_id are one document: the one with the smallest text
-    hash stays. Rows without doc_id stay.
+    Rows are told by id and text: the row with the smallest id of a group stays,
+    one without id if there is no other, and of rows alike in both any one. Rows
+    that share an id but not their texts are rows of their own. Rows without
+    words stay.
     """
-    kept = near_duplicates(docs, words, percent).where(F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__kept")).distinct()
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64(F.col("text").cast("string")))
-    named = docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi").withColumn("__row", F.row_number().over(first))
-    return named.where("__row = 1").drop("__row").unionByName(docs.where(F.col("doc_id").isNull()))
+    _, classes = _classes(docs, words, percent, F.lit(True))
+    text = F.col("text").cast("string")
+    keyed = docs.withColumn("__row", F.xxhash64(F.col("doc_id").cast("long"), text))
+    stay = classes.select(F.col("first.row_key").alias("__row")).distinct()
+    worded = F.coalesce(text.rlike(WORD), F.lit(False))
+    return keyed.where(worded).join(stay, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row").unionByName(docs.where(~worded))

@@ -82,9 +82,9 @@ def test_large_groups_chains_and_hubs(spark, monkeypatch):
 
 
 def test_hot_nodes_that_branch(spark, monkeypatch):
-    """Pairs of near copies among documents with one template: all roots are large, and none is split before it branches."""
+    """Pairs of near copies among documents with one template: all roots are large, and branch many times."""
     monkeypatch.setattr(neardup, "LEAF", 8)
-    monkeypatch.setattr(neardup, "SPREAD_ROWS", 0)
+    monkeypatch.setattr(neardup, "CHUNK", 64)
     rng = random.Random(12)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
     template = [word() for _ in range(150)]
@@ -115,6 +115,7 @@ def test_sketches_rule_out_next_to_nothing(least):
 def test_nothing(spark, no_docs):
     assert neardup.near_duplicates(no_docs).count() == 0
     assert neardup.deduplicated(no_docs).columns == no_docs.columns
+    assert neardup.deduplicated(no_docs).count() == 0
 
 
 def test_one_of_each_group_stays(spark, odd_docs, odd_rows):
@@ -124,6 +125,87 @@ def test_one_of_each_group_stays(spark, odd_docs, odd_rows):
     assert Counter(r["doc_id"] for r in got.collect()) == Counter([*{c for c in component.values()}, None])
 
 
+def test_rows_are_told_by_id_and_text(spark):
+    texts = [" ".join(f"w{k}x{j}" for j in range(40)) for k in range(4)]
+    rows = [(1, texts[0]), (1, texts[1]), (1, texts[1]), (2, texts[1] + " more"), (None, texts[2]), (None, texts[2]), (3, texts[3]), (None, texts[3]), (None, None), (4, ""), (4, "")]
+    got = neardup.deduplicated(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, row_key string")).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter([(1, texts[0]), (1, texts[1]), (None, texts[2]), (3, texts[3]), (None, None), (4, ""), (4, "")])
+
+
+def pairs_at(similarity, n, seed):
+    """Texts in pairs of about the given similarity of 3-word shingles, each pair of words of its own."""
+    rng = random.Random(seed)
+    rows = []
+    for k in range(n):
+        own = [f"w{k}x{j}" for j in range(300)]
+        other, edits = list(own), 0
+        while True:
+            at = rng.randrange(300)
+            changed = [*other[:at], f"e{k}x{edits}", *other[at + 1 :]]
+            a, b = shingles(" ".join(own), 3), shingles(" ".join(changed), 3)
+            if len(a & b) / len(a | b) < similarity:
+                break
+            other, edits = changed, edits + 1
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(other))]
+    return rows
+
+
+def test_recall_at_the_threshold_with_production_parameters(spark):
+    rows = pairs_at(0.85, 1500, 17)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert sum(got[2 * k + 1] == 2 * k for k in range(1500)) >= 1499
+    assert all(got[2 * k] == 2 * k for k in range(1500))
+
+
+@pytest.mark.parametrize(("similarity", "most"), [(0.85, 3e-3), (0.8, 2e-2)])
+def test_recall_where_all_nodes_branch(spark, similarity, most):
+    """Signatures of pairs at the threshold: the roots and ten levels below them, as production has them."""
+    rng = np.random.default_rng(19)
+    a = rng.integers(0, 2**32, (1500, neardup.HASHES), dtype=np.uint32)
+    b = np.where(rng.random(a.shape) < similarity, a, rng.integers(0, 2**32, a.shape, dtype=np.uint32))
+    rows = [(k, side, x.astype("<u4").tobytes()) for side, xs in enumerate((a, b)) for k, x in enumerate(xs)]
+    col = neardup.F.col
+    at = spark.createDataFrame(rows, "pair long, side int, signature binary").select("pair", "side", "signature", neardup._roots(col("signature")).alias("at"))
+    for depth in range(1, 11):
+        at = at.select("pair", "side", "signature", neardup._branches(depth, col("at.path"), col("at.node"), col("signature")).alias("at"))
+    met = at.groupBy("pair", "at.node").agg(neardup.F.countDistinct("side").alias("n")).where("n = 2").select("pair").distinct().count()
+    assert 1 - met / 1500 <= most and neardup.loss(similarity, 10) <= most
+
+
+def measured(spark, rows, monkeypatch):
+    """Rows that are compared and confirmed, and the largest group in one task."""
+    sizes = {"node": Counter(), "block": Counter()}
+    ordered = neardup._ordered
+    monkeypatch.setattr(neardup, "_ordered", lambda df, key: ordered(df, key) if sizes[key].update({(id(df), r[0]): r[1] for r in df.groupBy(key).count().collect()}) is None else None)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    monkeypatch.setattr(neardup, "_ordered", ordered)
+    return sum(sizes["node"].values()) + sum(sizes["block"].values()), max([*sizes["node"].values(), *sizes["block"].values()]), got
+
+
+@pytest.mark.parametrize("kind", ["copies", "passage"])
+def test_rows_grow_with_the_input(spark, monkeypatch, kind):
+    """Near copies of one text around the threshold, and unlike texts that share a passage: twice the rows, about twice the work."""
+    monkeypatch.setattr(neardup, "LEAF", 16)
+    monkeypatch.setattr(neardup, "CHUNK", 64)
+    monkeypatch.setattr(neardup, "SAMPLE", 32)
+    rng = random.Random(23)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    base, rows = [word() for _ in range(120)], []
+    for k in range(800):
+        if kind == "copies":
+            text = list(base)
+            for at in rng.sample(range(120), rng.randrange(2, 7)):
+                text[at] = word()
+        else:
+            text = base[:70] + [word() for _ in range(60)]
+        rows.append((k, " ".join(text)))
+    few, largest, _ = measured(spark, rows[:400], monkeypatch)
+    many, largest_of_many, got = measured(spark, rows, monkeypatch)
+    assert max(largest, largest_of_many) <= 3 * neardup.CHUNK
+    assert many <= 2.8 * few, (few, many)
+    assert got == brute(rows, 3, 85)[1]
+
+
 def test_word_hashes_follow_words_alone():
     with np.errstate(over="ignore"):
         a = neardup._word_hashes(b"alpha beta  alpha\tgamma")
