@@ -4,11 +4,20 @@ In each of TABLES tables a vector of unit length is projected by a random
 orthonormal frame to eight dimensions, scaled, and decoded to the nearest point
 of the lattice E8: the better of the nearest points of D8 and of D8 shifted by
 one half. The vector goes to that cell and to those of its PROBES nearest
-neighbouring points. Vectors that share a cell and a label are compared by
-cosine in double precision, in chunks if a cell is large. A pair that shares
-several cells counts in the first alone, so links are counted exactly and no
-table of pairs is made: a comparison gives each vector's number of links, and
-as many links as connect components.
+neighbouring points. Only ids travel to the cells, with BITS signs of random
+projections; of vectors whose signs are alike there, those that hang together
+form blocks. Equal blocks of several cells are one, and for each block its
+members' vectors are fetched and compared by cosine in double precision.
+
+A pair that shares several cells counts in the first alone, so links are
+counted exactly and no table of pairs is made: a comparison gives each vector's
+number of links, and as many links as connect components. Large cells are
+compared piece by piece; there is no cap on cells. How many vectors of a label
+share a cell grows with their number: finer cells come with a larger SCALE and
+more TABLES.
+
+At cosine 0.93 a pair of 64 dimensions shares no cell with odds below 1e-3, and
+its signs rule it out with odds of 1e-6 (five deviations).
 
 Equal vectors of one label are one class with a multiplicity.
 
@@ -28,11 +37,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import written
+from loomgraph.llm.common import forget, written
 from loomgraph.llm.components import components
 from loomgraph.llm.neardup import _groups, _mixed, _ordered, _Union
 
-TABLES, PROBES, SCALE, CHUNK, SEED = 6, 3, 2.0, 512, 20_240_701
+TABLES, PROBES, SCALE, BITS, CHUNK, SEED = 5, 3, 2.0, 128, 4096, 20_240_701
 
 
 def nearest_e8(x: np.ndarray) -> np.ndarray:
@@ -91,115 +100,156 @@ def cells(unit: np.ndarray, projections: np.ndarray) -> np.ndarray:
     return out
 
 
-def _vectors(column: pa.Array) -> list[np.ndarray | None]:
-    """Each usable vector in double precision, else None."""
-    found: list[np.ndarray | None] = []
-    for x in column:
-        x = x.as_py()
-        v = None if not x or any(e is None for e in x) else np.array(x, dtype=np.float64)
-        found.append(v + 0.0 if v is not None and np.isfinite(v).all() and v.any() else None)
-    return found
+def _signs(unit: np.ndarray) -> np.ndarray:
+    """BITS signs of random projections for each row, in 64-bit words."""
+    planes = np.random.default_rng([SEED, BITS, unit.shape[1]]).normal(size=(unit.shape[1], BITS))
+    return np.packbits(unit @ planes > 0, axis=1).view(np.uint64)
+
+
+def most_unlike(least: float) -> int:
+    """Signs in which a pair of cosine `least` may differ: five deviations more than on average."""
+    odds = np.arccos(least) / np.pi
+    return int(np.ceil(BITS * odds + 5 * np.sqrt(BITS * odds * (1 - odds))))
+
+
+def _units(raw: list[bytes], dim: int) -> np.ndarray:
+    """Vectors of unit length from the bytes of single or double numbers."""
+    x = np.stack([np.frombuffer(r, dtype="<f4" if len(r) == 4 * dim else "<f8") for r in raw]).astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _described(vectors: DataFrame) -> DataFrame:
-    """vec_id, label, dim (null if unusable), two prints, the vector's doubles."""
+    """vec_id, label, dim (null if unusable), two prints, the vector's numbers: single ones where they are exact."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with np.errstate(over="ignore"):
+        with np.errstate(over="ignore", invalid="ignore"):
             for batch in batches:
-                dims, one, two, raw = [], [], [], []
-                for v in _vectors(batch.column(2)):
-                    if v is None:
-                        dims, one, two, raw = [*dims, None], [*one, None], [*two, None], [*raw, None]
-                        continue
-                    h = _mixed(v.view(np.uint64) + np.arange(1, len(v) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                    dims.append(len(v))
-                    one.append(int(h.sum(dtype=np.uint64).view(np.int64)))
-                    two.append(int(_mixed(h).sum(dtype=np.uint64).view(np.int64)))
-                    raw.append(v.tobytes())
-                arrays = [pa.array(dims, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(raw, pa.binary())]
+                column = batch.column(2)
+                # a null component reads as not a number
+                flat, ends = column.values.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0, column.offsets.to_numpy()
+                size = np.where(column.is_null().to_numpy(zero_copy_only=False), 0, np.diff(ends))
+                dims, prints, raw = np.zeros(len(size), dtype=np.int64), np.zeros((2, len(size)), dtype=np.int64), np.full(len(size), None, dtype=object)
+                for dim in np.unique(size[size > 0]):
+                    rows = np.flatnonzero(size == dim)
+                    x = flat[ends[rows][:, None] + np.arange(dim)]
+                    good = np.isfinite(x).all(axis=1) & x.any(axis=1)
+                    rows, x = rows[good], x[good]
+                    h = _mixed(np.ascontiguousarray(x).view(np.uint64) + np.arange(1, dim + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                    dims[rows] = dim
+                    prints[0, rows], prints[1, rows] = h.sum(axis=1, dtype=np.uint64).view(np.int64), _mixed(h).sum(axis=1, dtype=np.uint64).view(np.int64)
+                    single = x.astype("<f4")
+                    exact = (single == x).all(axis=1)
+                    for k, row in enumerate(rows):
+                        raw[row] = (single[k] if exact[k] else x[k].astype("<f8")).tobytes()
+                none = dims == 0
+                arrays = [pa.array(dims, pa.int32(), mask=none), *(pa.array(p, pa.int64(), mask=none) for p in prints), pa.array(raw, pa.binary())]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["vec_id", "label", "dim", "print1", "print2", "vector"])
 
     given = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     return given.mapInArrow(run, "vec_id long, label string, dim int, print1 long, print2 long, vector binary")
 
 
+def _salted(own: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    """Cells of other labels and lengths are other cells."""
+    return _mixed(own.view(np.uint64) ^ _mixed(salt.view(np.uint64))[:, None, None]).view(np.int64)
+
+
 def _hashed(reps: DataFrame) -> DataFrame:
-    """(cell, table, rep, n, vector, cells) for each representative and cell."""
+    """(cell, in_table, rep, signs) for each representative and cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                table = pa.Table.from_batches([batch.slice(at, 512)])
-                dims, salt = table.column("dim").to_numpy(), table.column("salt").to_numpy()
+                part = batch.slice(at, 512)
+                rep, dims, salt = (part.column(k).to_numpy() for k in range(3))
+                raw = np.array(part.column(3).to_pylist(), dtype=object)
                 for dim in np.unique(dims):
                     rows = np.flatnonzero(dims == dim)
-                    part = table.take(pa.array(rows))
                     if int(dim) not in known:
                         known[int(dim)] = frames(int(dim))
-                    x = np.frombuffer(b"".join(part.column("vector").to_pylist()), dtype=np.float64).reshape(-1, dim)
-                    x = x / np.abs(x).max(axis=1, keepdims=True)
-                    own = cells(x / np.linalg.norm(x, axis=1, keepdims=True), known[int(dim)])
-                    # cells of other labels and lengths are other cells
-                    own = _mixed((own.view(np.uint64) ^ _mixed(salt[rows].view(np.uint64))[:, None, None])).view(np.int64)
-                    each = TABLES * (PROBES + 1)
-                    again = part.take(pa.array(np.repeat(np.arange(len(rows)), each)))
+                    x = _units(raw[rows], int(dim))
+                    own, each = _salted(cells(x, known[int(dim)]), salt[rows]), TABLES * (PROBES + 1)
+                    signs = np.array([s.tobytes() for s in _signs(x)], dtype=object)
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(own.ravel()),
-                            pa.array(np.tile(np.repeat(np.arange(TABLES), PROBES + 1), len(rows)), pa.int32()),
-                            again.column("rep").combine_chunks(),
-                            again.column("n").combine_chunks(),
-                            again.column("vector").combine_chunks(),
-                            pa.array(np.repeat(np.array([k.tobytes() for k in own], dtype=object), each), pa.binary()),
-                        ],
-                        names=["cell", "in_table", "rep", "n", "vector", "cells"],
+                        [pa.array(own.ravel()), pa.array(np.tile(np.repeat(np.arange(TABLES), PROBES + 1), len(rows)), pa.int32()), pa.array(np.repeat(rep[rows], each)), pa.array(np.repeat(signs, each), pa.binary())],
+                        names=["cell", "in_table", "rep", "signs"],
                     )
 
-    salted = reps.select("rep", "n", "dim", "vector", F.xxhash64("label", "dim").alias("salt"))
-    return salted.mapInArrow(run, "cell long, in_table int, rep long, n long, vector binary, cells binary")
+    return reps.select("rep", "dim", "salt", "vector").mapInArrow(run, "cell long, in_table int, rep long, signs binary")
+
 
+def _blocks(met: DataFrame, most: int) -> DataFrame:
+    """Of (node, cell, in_table, rep, side, crossed, signs): (block, rep, side, crossed, first) to compare by cosine.
 
-def _compared(met: DataFrame, least: float) -> DataFrame:
-    """Of rows with a node, own and side: (a, b, n): a's n vectors more that it links with (b null), or a link a - b."""
+    Members of a node whose signs differ in `most` places at most hang together;
+    in a crossed node only those of different sides meet. first is the first
+    cell, as (in_table, cell), that has the block.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, "node"):
-            if table.num_rows < 2:
+            rep, side, crossed = table["rep"], table["side"], bool(table["crossed"][0])
+            if len(rep) < 2:
                 continue
-            rep, n, piece = (table.column(c).to_numpy() for c in ("rep", "n", "piece"))
-            t, cell, pair = table.column("in_table")[0].as_py(), table.column("cell")[0].as_py(), piece.min() != piece.max()
-            raw = table.column("vector").to_pylist()
-            if len({len(r) for r in raw}) > 1:
+            signs = np.frombuffer(b"".join(table["signs"]), dtype=np.uint64).reshape(len(rep), -1)
+            label, involved = np.arange(len(rep)), np.zeros(len(rep), dtype=bool)
+            for i in range(0, len(rep), 64):
+                alike = np.bitwise_count(signs[i : i + 64, None, :] ^ signs[None, :, :]).sum(axis=2, dtype=np.uint8) <= most
+                alike &= side[i : i + 64, None] != side[None, :] if crossed else rep[i : i + 64, None] != rep[None, :]
+                for k in np.flatnonzero(alike.any(axis=1)):
+                    js = np.append(np.flatnonzero(alike[k]), i + k)
+                    involved[js] = True
+                    joined = np.unique(label[js])
+                    if len(joined) > 1:
+                        label[np.isin(label, joined)] = joined[0]
+            some = np.flatnonzero(involved)
+            if not len(some):
                 continue
-            x = np.frombuffer(b"".join(raw), dtype=np.float64).reshape(len(raw), -1)
-            x = x / np.abs(x).max(axis=1, keepdims=True)
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            own = np.frombuffer(b"".join(table.column("cells").to_pylist()), dtype=np.int64).reshape(len(raw), TABLES, PROBES + 1)
-            left = np.flatnonzero(piece == piece.min())
-            right = np.flatnonzero(piece == piece.max()) if pair else left
-            i, j = np.nonzero(x[left] @ x[right].T >= least)
-            i, j = left[i], right[j]
-            # of two pieces all pairs, of one each pair once
-            good = rep[i] != rep[j] if pair else rep[i] < rep[j]
-            i, j = i[good], j[good]
-            first = np.ones(len(i), dtype=bool)
-            for before in range(t):
-                first &= ~(own[i, before][:, :, None] == own[j, before][:, None, :]).any(axis=(1, 2))
-            for k in range(PROBES + 1):
-                mine = own[i, t, k]
-                first &= ~((mine < cell) & (own[j, t] == mine[:, None]).any(axis=1))
-            i, j = i[first], j[first]
-            if not len(i):
-                continue
-            links = np.zeros(len(rep), dtype=np.int64)
-            np.add.at(links, i, n[j])
-            np.add.at(links, j, n[i])
-            union, tree = _Union(np.arange(len(rep))), []
-            for a, b in zip(i.tolist(), j.tolist(), strict=True):
-                if union.join(a, b):
-                    tree.append((int(rep[a]), int(rep[b])))
+            some = some[np.lexsort((rep[some], label[some]))]
+            cuts = np.flatnonzero(np.diff(label[some], prepend=-1))
+            with np.errstate(over="ignore"):
+                salted = _mixed(rep[some].astype(np.uint64) * np.uint64(2) + side[some].astype(np.uint64) + np.uint64(int(crossed) << 62))
+                names = _mixed(np.add.reduceat(salted, cuts)).view(np.int64)
+            n = len(some)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(names, np.diff([*cuts, n]))), pa.array(rep[some]), pa.array(side[some], pa.int32()), pa.array(np.full(n, crossed)), pa.array(table["in_table"][some], pa.int32()), pa.array(table["cell"][some])],
+                names=["block", "rep", "side", "crossed", "in_table", "cell"],
+            )
+
+    found = _ordered(met, "node").mapInArrow(run, "block long, rep long, side int, crossed boolean, in_table int, cell long")
+    return found.groupBy("block", "rep", "side", "crossed").agg(F.min(F.struct("in_table", "cell")).alias("first"))
+
+
+def _compared(blocks: DataFrame, least: float) -> DataFrame:
+    """Of blocks with vectors: (a, b, n): a's n vectors more that it links with (b null), or a link a - b."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = {}
+        for table in _groups(batches, "block"):
+            rep, n, side, dim = table["rep"], table["n"], table["side"], int(table["dim"][0])
+            t, cell, crossed = int(table["in_table"][0]), table["cell"][0], bool(table["crossed"][0])
+            if dim not in known:
+                known[dim] = frames(dim)
+            x = _units(table["vector"], dim)
+            own = _salted(cells(x, known[dim]), table["salt"])
+            links, tree, union = np.zeros(len(rep), dtype=np.int64), [], _Union(np.arange(len(rep)))
+            for at in range(0, len(rep), 512):
+                i, j = np.nonzero(x[at : at + 512] @ x.T >= least)
+                i = i + at
+                good = (side[i] < side[j]) if crossed else (i < j)
+                i, j = i[good], j[good]
+                first = np.ones(len(i), dtype=bool)
+                for before in range(t):
+                    first &= ~(own[i, before][:, :, None] == own[j, before][:, None, :]).any(axis=(1, 2))
+                for k in range(PROBES + 1):
+                    mine = own[i, t, k]
+                    first &= ~((mine < cell) & (own[j, t] == mine[:, None]).any(axis=1))
+                i, j = i[first], j[first]
+                np.add.at(links, i, n[j])
+                np.add.at(links, j, n[i])
+                tree += [(int(rep[a]), int(rep[b])) for a, b in zip(i.tolist(), j.tolist(), strict=True) if union.join(a, b)]
             some = np.flatnonzero(links)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -210,28 +260,38 @@ def _compared(met: DataFrame, least: float) -> DataFrame:
                 names=["a", "b", "n"],
             )
 
-    return _ordered(met, "node").mapInArrow(run, "a long, b long, n long")
+    return _ordered(blocks, "block").mapInArrow(run, "a long, b long, n long")
 
 
 def near_vectors(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row for each vector."""
     known = written(_described(vectors).withColumn("linked", F.col("dim").isNotNull() & F.col("label").isNotNull() & F.col("vec_id").isNotNull()))
     same = ["label", "dim", "print1", "print2"]
-    reps = written(known.where("linked").groupBy(*same).agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.min_by("vector", "vec_id").alias("vector")))
-    hashed = _hashed(reps)
-    sizes = hashed.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    met = hashed.join(sizes, "cell").withColumn("pieces", F.ceil(F.col("size") / CHUNK))
-    # a large cell's members meet piece by piece; each pair of pieces is a comparison of its own
+    classes = known.where("linked").groupBy(*same).agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("n"), F.min_by("vector", "vec_id").alias("vector"))
+    # a vec_id may stand for several vectors, so classes have names of their own
+    reps = written(classes.withColumn("salt", F.xxhash64("label", "dim")).withColumn("rep", F.xxhash64("salt", "print1", "print2")))
+    hashed = written(_hashed(reps))
+    large = written(hashed.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > CHUNK))
+    # a large cell's members meet piece by piece; each pair of pieces is a node of its own
+    met = hashed.join(large, "cell", "left").withColumn("pieces", F.ceil(F.coalesce("size", F.lit(1)) / CHUNK))
     met = met.withColumn("piece", F.pmod(F.xxhash64("rep"), "pieces")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
-    met = met.withColumn("node", F.xxhash64("cell", F.least("piece", "other"), F.greatest("piece", "other")))
-    found = written(_compared(met.select("node", "cell", "in_table", "rep", "n", "piece", "vector", "cells"), least))
+    met = met.withColumn("node", F.when(F.col("pieces") == 1, F.col("cell")).otherwise(F.xxhash64("cell", F.least("piece", "other"), F.greatest("piece", "other"))))
+    # in a node of two pieces both are there once; a piece with itself is a node of one side
+    met = met.withColumn("crossed", F.col("piece") != F.col("other")).withColumn("side", (F.col("piece") > F.col("other")).cast("int"))
+    blocks = _blocks(met.select("node", "cell", "in_table", "rep", "side", "crossed", "signs"), most_unlike(least))
+    wanted = blocks.select("block", "rep", "side", "crossed", "first.in_table", "first.cell").hint("shuffle_merge").join(reps.select("rep", "n", "dim", "salt", "vector"), "rep")
+    found = written(_compared(wanted, least))
     links = found.where("b is null").groupBy("a").agg(F.sum("n").alias("more"))
     labels = components(found.where("b is not null").select("a", "b"))
-    told = (
+    firsts = labels.join(reps.select(F.col("rep").alias("node"), "vec_id"), "node").groupBy("component").agg(F.min("vec_id").alias("least"))
+    linked = labels.join(firsts, "component").select(F.col("node").alias("rep"), "least")
+    told = written(
         reps.join(links, reps["rep"] == links["a"], "left")
-        .join(labels, reps["rep"] == labels["node"], "left")
-        .select(*same, (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        .join(linked, "rep", "left")
+        .select(*same, (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("least", "vec_id").alias("component_id"))
     )
-    joined = known.drop("vector").join(told, same, "left")
+    rows = written(known.drop("vector"))
+    forget(known, reps, hashed, large, found, labels)
+    joined = rows.join(told, same, "left")
     component = F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("vec_id"))
     return joined.select("vec_id", F.when(F.col("linked"), F.col("n_links")).otherwise(0).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
