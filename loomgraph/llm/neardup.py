@@ -49,7 +49,7 @@ from pyspark.sql import types as T
 from loomgraph.llm.common import WORD, by_batches, forget, written
 from loomgraph.llm.components import components
 
-HASHES, TREES, ROOTS, DEPTH, LEAF, CHUNK = 128, 6, 2, 24, 64, 2048
+HASHES, TREES, ROOTS, DEPTH, LEAF, CHUNK = 128, 6, 2, 24, 64, 4096
 #: Chosen tokens by which a node branches on the first, second, third ... level below the roots, repeating.
 BRANCHING = (1, 2)
 #: What a pair's share of equal places may lie below the threshold to be confirmed on full sets: 5 deviations or more.
@@ -159,30 +159,35 @@ def described(rows: DataFrame, words: int) -> DataFrame:
     return by_batches(rows, fields, make, ["doc_id", "row_key"])
 
 
-def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Tables of all rows with one key, from batches in which equal keys follow each other."""
-    rest: list[pa.Table] = []
+def _columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    """A batch's numbers as arrays, sketches as rows of bytes, other bytes as objects."""
+    found = {}
+    for name, column in zip(batch.schema.names, batch.columns, strict=True):
+        if not pa.types.is_binary(column.type):
+            found[name] = column.to_numpy(zero_copy_only=False)
+        elif name in ("sketch", "common"):
+            found[name] = np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, HASHES)
+        else:
+            found[name] = column.to_numpy(zero_copy_only=False)
+    return found
+
+
+def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict[str, np.ndarray]]:
+    """The columns of all rows with one key, from batches in which equal keys follow each other."""
+    rest: dict[str, np.ndarray] = {}
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = np.asarray(batch.column(batch.schema.get_field_index(key)).to_numpy(zero_copy_only=False))
-        cuts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
+        columns = _columns(batch)
+        if rest:
+            columns = {k: np.concatenate([rest[k], v]) for k, v in columns.items()}
+        keys = columns[key]
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist()]
         for a, b in zip(cuts, cuts[1:], strict=False):
-            part = pa.Table.from_batches([batch.slice(a, b - a)])
-            if rest and rest[0].column(key)[0].as_py() != keys[a]:
-                yield pa.concat_tables(rest)
-                rest = []
-            rest.append(part)
+            yield {k: v[a:b] for k, v in columns.items()}
+        rest = {k: v[cuts[-1] :] for k, v in columns.items()}
     if rest:
-        yield pa.concat_tables(rest)
-
-
-def _numbers(table: pa.Table, name: str) -> np.ndarray:
-    return table.column(name).to_numpy()
-
-
-def _sketches(table: pa.Table, name: str = "sketch") -> np.ndarray:
-    return np.frombuffer(b"".join(table.column(name).to_pylist()), dtype=np.uint8).reshape(-1, HASHES)
+        yield rest
 
 
 class _Union:
@@ -203,6 +208,9 @@ class _Union:
 
 def _alike(n: np.ndarray, sketches: np.ndarray, component: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Members with an alike sketch in another component, and for each a label of those that hang together."""
+    if len(n) == 2:
+        good = np.count_nonzero(sketches[0] == sketches[1]) >= (least - ALIKE_SLACK) * HASHES and n.min() >= (least - 1e-9) * n.max()
+        return np.arange(2 * good), np.zeros(2 * good, dtype=np.int64)
     _, own, sizes = np.unique(component, return_inverse=True, return_counts=True)
     # a byte of all sketches after the other, so that equal ones are summed in few passes
     columns, need = np.ascontiguousarray(sketches.T), int(np.ceil((least - ALIKE_SLACK) * HASHES))
@@ -220,7 +228,12 @@ def _alike(n: np.ndarray, sketches: np.ndarray, component: np.ndarray, least: fl
 
 
 def _ordered(df: DataFrame, key: str) -> DataFrame:
-    return df.repartition(key).sortWithinPartitions(key)
+    """All rows with one key in one task, one after the other.
+
+    Dealt by a hash of the key: a repartition by the key itself would be left
+    out after a join by it, and a skewed join deals a key to several tasks.
+    """
+    return df.repartition(F.xxhash64(key)).sortWithinPartitions(key)
 
 
 def _parts(n: np.ndarray) -> list[np.ndarray]:
@@ -247,11 +260,10 @@ def _to_confirm(nodes: DataFrame, least: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, np.ndarray, np.ndarray]] = []
         for table in _groups(batches, "node"):
-            doc, component = _numbers(table, "doc"), _numbers(table, "component")
+            doc, component, n = table["doc"], table["component"], table["n_shingles"]
             if len(doc) < 2 or (component == component[0]).all():
                 continue
-            n = _numbers(table, "n_shingles")
-            some, label = _alike(n, _sketches(table), component, least)
+            some, label = _alike(n, table["sketch"], component, least)
             for value in np.unique(label):
                 ks = some[label == value]
                 ks = ks[np.argsort(doc[ks])]
@@ -273,14 +285,14 @@ def _confirmed(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, "block"):
-            doc, links = _numbers(table, "doc"), []
-            tokens = [np.frombuffer(x, dtype="<u8") for x in table.column("tokens").to_pylist()]
+            doc, links = table["doc"], []
+            tokens = [np.frombuffer(x, dtype="<u8") for x in table["tokens"]]
             n = np.array(list(map(len, tokens)))
             starts = np.cumsum(n) - n
             # tokens as numbers of the block's own vocabulary: one set is marked in it, and all are counted at once
             vocabulary, number = np.unique(np.concatenate(tokens), return_inverse=True)
             marked = np.zeros(len(vocabulary), dtype=bool)
-            _, label, sizes = np.unique(_numbers(table, "component"), return_inverse=True, return_counts=True)
+            _, label, sizes = np.unique(table["component"], return_inverse=True, return_counts=True)
             for i in np.flatnonzero(label != sizes.argmax()):
                 js = np.flatnonzero((label != label[i]) & (100 * np.minimum(n[i], n) >= percent * np.maximum(n[i], n)))
                 if not len(js):
@@ -328,7 +340,7 @@ def _centres(nodes: DataFrame, sizes: DataFrame) -> DataFrame:
 
     def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, "node"):
-            sorted_ = np.sort(_sketches(table), axis=0)
+            sorted_ = np.sort(table["sketch"], axis=0)
             # the longest run of equal values in each place
             n, best, value = len(sorted_), np.zeros(HASHES, dtype=np.int64), sorted_[0].copy()
             run = np.ones(HASHES, dtype=np.int64)
@@ -337,14 +349,14 @@ def _centres(nodes: DataFrame, sizes: DataFrame) -> DataFrame:
                 run = np.where(sorted_[k] == sorted_[k - 1], run + 1, 1)
                 value = np.where(run > best, sorted_[k], value)
                 best = np.maximum(best, run)
-            yield pa.RecordBatch.from_arrays([table.column("node").combine_chunks()[:1], pa.array([value.tobytes()], pa.binary())], names=["node", "common"])
+            yield pa.RecordBatch.from_arrays([pa.array(table["node"][:1]), pa.array([value.tobytes()], pa.binary())], names=["node", "common"])
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            if not table.num_rows:
+            if not batch.num_rows:
                 continue
-            equal = (_sketches(table) == _sketches(table, "common")).sum(axis=1)
+            table = _columns(batch)
+            equal = (table["sketch"] == table["common"]).sum(axis=1)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(equal, pa.int64())], names=["node", "doc", "equal"])
 
     made = _ordered(some.select("node", "sketch"), "node").mapInArrow(common, "node long, common binary")
@@ -437,8 +449,9 @@ def _classes(docs: DataFrame, words: int, percent: int, usable: Column) -> tuple
     # small nodes are compared exhaustively; members of large ones with the centre of their node, in chunks
     small = nodes.where(F.col("size") <= LEAF).select("node", "doc")
     large = nodes.where(F.col("size") > LEAF).select("node", "doc", "path", "size")
-    centres = _centres(large.select("node", "doc").join(told, "doc"), large.select("node", "size").distinct())
-    chunks = _chunked(large.join(centres, "node").where("doc != centre").select("centre", "doc").distinct()).select(F.col("block").alias("node"), "doc")
+    centres = written(_centres(large.select("node", "doc").join(told, "doc"), large.select("node", "size").distinct()))
+    starred = written(large.join(centres, "node").where("doc != centre").select("centre", "doc").distinct())
+    chunks = _chunked(starred).select(F.col("block").alias("node"), "doc")
     met = small.union(chunks).withColumn("component", F.col("doc")).join(told, "doc")
     alike = written(_to_confirm(met, least))
     sets = _sets(given, reps, alike.select("doc").distinct(), words)
@@ -458,7 +471,7 @@ def _classes(docs: DataFrame, words: int, percent: int, usable: Column) -> tuple
     found = final.join(leasts, "component").select(F.col("node").alias("rep"), "least")
     classes = written(reps.join(found, "rep", "left").select(F.col("rep").alias("class"), "n_shingles", F.coalesce("least", "first").alias("first")))
     rows = written(known.select("doc_id", "row_key", "n_shingles", "class"))
-    forget(known, reps, nodes, alike, sets, first, labels, *tables, left, more, second, final)
+    forget(known, reps, nodes, centres, starred, alike, sets, first, labels, *tables, left, more, second, final)
     return rows, classes
 
 

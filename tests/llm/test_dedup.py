@@ -182,11 +182,11 @@ def measured(spark, rows, monkeypatch):
     return sum(sizes["node"].values()) + sum(sizes["block"].values()), max([*sizes["node"].values(), *sizes["block"].values()]), got
 
 
-@pytest.mark.parametrize("kind", ["copies", "passage"])
-def test_rows_grow_with_the_input(spark, monkeypatch, kind):
+@pytest.mark.parametrize(("kind", "chunk"), [("copies", 256), ("passage", 64)])
+def test_rows_grow_with_the_input(spark, monkeypatch, kind, chunk):
     """Near copies of one text around the threshold, and unlike texts that share a passage: twice the rows, about twice the work."""
     monkeypatch.setattr(neardup, "LEAF", 16)
-    monkeypatch.setattr(neardup, "CHUNK", 64)
+    monkeypatch.setattr(neardup, "CHUNK", chunk)
     monkeypatch.setattr(neardup, "SAMPLE", 32)
     rng = random.Random(23)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
@@ -194,7 +194,7 @@ def test_rows_grow_with_the_input(spark, monkeypatch, kind):
     for k in range(800):
         if kind == "copies":
             text = list(base)
-            for at in rng.sample(range(120), rng.randrange(2, 7)):
+            for at in rng.sample(range(120), rng.randrange(0, 6)):
                 text[at] = word()
         else:
             text = base[:70] + [word() for _ in range(60)]
@@ -202,7 +202,7 @@ def test_rows_grow_with_the_input(spark, monkeypatch, kind):
     few, largest, _ = measured(spark, rows[:400], monkeypatch)
     many, largest_of_many, got = measured(spark, rows, monkeypatch)
     assert max(largest, largest_of_many) <= 3 * neardup.CHUNK
-    assert many <= 2.8 * few, (few, many)
+    assert many <= 2.6 * few, (few, many)
     assert got == brute(rows, 3, 85)[1]
 
 
@@ -250,6 +250,39 @@ def vectors(seed=2):
     return [*rows, *[(k + j, v, 0) for j, v in enumerate(odd)], (3, rows[3][1], rows[3][2])]
 
 
+def test_vectors_without_id_or_with_one_id(spark):
+    v, w = [1.0, 0.5, 0.25, 2.0], [-1.0, 3.0, 0.5, 0.0]
+    rows = [(None, v, 0), (1, v, 0), (2, v, 0), (3, w, 0), (3, v, 0), (4, w, 1)]
+    got = lattice.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert Counter(tuple(r) for r in got) == Counter([(None, 0, None, True), (1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (3, 0, 3, True), (4, 0, 4, True)])
+
+
+def test_registered_query_on_planted_pairs(spark, tmp_path):
+    """The query itself, on a table with pairs just at or above 0.93 and just below it, and a group of near copies."""
+    import duckdb
+
+    from loomgraph.llm import oracles, queries
+
+    rng = np.random.default_rng(31)
+    rows = []
+    unit = lambda x: x / np.linalg.norm(x)
+    for k in range(150):
+        a, b = unit(rng.normal(size=64)), rng.normal(size=64)
+        b = unit(b - (b @ a) * a)
+        for c in (0.931, 0.9295, 0.96)[: 1 + k % 3]:
+            rows += [a, c * a + np.sqrt(1 - c * c) * b]
+    centre = unit(rng.normal(size=64))
+    rows += [unit(centre + rng.normal(size=64) * 0.02) for _ in range(120)]
+    table = [(k, x.astype(np.float32).tolist(), k % 2 if k < 100 else 3) for k, x in enumerate(rows)]
+    spark.createDataFrame(table, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = queries.op6_embedding_near_dedup(spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    expected = con.sql(f"SELECT vec_id, n_links, component_id, kept FROM ({oracles.OP6})").fetchall()
+    assert sum(r["n_links"] for r in got) > 10_000
+    assert Counter(tuple(r) for r in got) == Counter(expected)
+
+
 def test_vectors_match_brute_force(spark, monkeypatch):
     monkeypatch.setattr(lattice, "CHUNK", 16)
     rows = vectors()
@@ -293,3 +326,19 @@ def test_recall_at_the_threshold():
     frames = lattice.frames(64)
     met = (lattice.cells(a, frames)[:, :, :, None] == lattice.cells(b, frames)[:, :, None, :]).any(axis=(1, 2, 3))
     assert met.mean() > 0.999
+
+
+def test_groups_stay_whole_after_a_skewed_join(spark):
+    """A repartition by the key of a join is left out, and the join's skewed keys are dealt to several tasks."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        left = spark.range(40_000).repartition(8).selectExpr("IF(id % 2 = 0, 7, id % 50) AS node", "id AS doc")
+        right = spark.range(50).selectExpr("id AS node", "id AS size").distinct()
+        seen = neardup._ordered(left.join(right, "node"), "node").mapInArrow(lambda batches: (neardup.pa.RecordBatch.from_arrays([neardup.pa.array(x["node"][:1])], names=["node"]) for x in neardup._groups(batches, "node")), "node long")
+        assert sorted(r["node"] for r in seen.collect()) == list(range(1, 50, 2))
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
