@@ -5,7 +5,8 @@ merges are all pairs of tokens that make it up, in the order of its rank, and a
 match of the pattern that is itself a token is taken whole. The byte table
 (byte to printable character) is the usual one of byte-level BPE. Decoding goes
 from ids to characters and by the reversed table to bytes, so tokens that split
-a character decode exactly.
+a character decode exactly. A token's offsets are the code points of the text
+that it covers; tokens that split a character share it.
 
 Defined cases: a null text is an empty one and has no tokens; very long texts
 are encoded whole; repeated rows give equal rows; an empty table gives no rows;
@@ -16,8 +17,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import re
 
+import numpy as np
 import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame
@@ -25,8 +28,8 @@ from pyspark.sql import types as T
 
 from loomgraph.llm.common import by_batches
 
-#: Encodings kept by a worker; beyond that they are dropped and made anew.
-KEPT = 400_000
+#: Characters of words whose encodings a worker keeps, about a fifteenth of the bytes they take; beyond that they are dropped and made anew.
+KEPT = 1 << 21
 #: White space that is not a single space or line feed between other characters, or the mark used to cut.
 SPACED = re.compile(r"[ \n](?:[ \n]|\Z)|^[ \n]|[\t\r\v\f\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\0]")
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -79,7 +82,7 @@ class ByteBPE:
         self.pattern = re.compile(spelled or spelled_out(pattern))
         self.characters = dict(enumerate(self.table))
         self.kept: dict[str, tuple] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.held = 0
         self.back = {c: b for b, c in enumerate(self.table)}
         vocabulary = {"".join(self.table[b] for b in token): rank for token, rank in ranks.items()}
         merges = []
@@ -90,37 +93,51 @@ class ByteBPE:
         for token, rank in vocabulary.items():
             self.bytes_of[rank] = bytes(self.back[c] for c in token)
 
-    def _units(self, texts: list[str]) -> list[list[tuple]]:
-        """Each text as units of whole matches: (ids in decimal with commas, bytes that the ids decode to).
+    def _units(self, text: str) -> list[tuple]:
+        """A text as units of whole matches: (ids in decimal with commas, ids, offsets of the ids, code points).
 
         Where single spaces and line feeds alone part a text's words, no match of
         the pattern reaches over them except for the space before a word, so words
-        are units. Encodings are kept, at most KEPT of them at a time.
+        are units. Encodings of short units are kept, KEPT characters at a time.
         """
-        kept, made = self.kept, []
-        for text in texts:
-            units = self._cut(text)
-            try:
-                made.append(list(map(kept.__getitem__, units)))
-            except KeyError:
-                for unit in units:
-                    if unit not in kept:
-                        kept[unit] = self._unit(unit)
-                made.append(list(map(kept.__getitem__, units)))
-            if len(kept) > KEPT:
+        kept, units = self.kept, self._cut(text)
+        try:
+            return list(map(kept.__getitem__, units))
+        except KeyError:
+            found = []
+            for unit in units:
+                made = kept.get(unit)
+                if made is None:
+                    made = self._unit(unit)
+                    if len(unit) <= 64:
+                        kept[unit] = made
+                        self.held += len(unit)
+                found.append(made)
+            if self.held > KEPT:
                 kept.clear()
-        return made
-
-    def _unit(self, unit: str) -> tuple[str, bytes]:
-        ids = []
-        for piece in self.pattern.findall(unit):
-            found = self.pieces.get(piece)
-            if found is None:
-                if len(self.pieces) > KEPT:
-                    self.pieces.clear()
-                found = self.pieces[piece] = [t.id for t in self._tokens(piece)]
-            ids += found
-        return ",".join(map(str, ids)), self.decode(ids)
+                self.held = 0
+            return found
+
+    def _unit(self, unit: str) -> tuple[str, tuple[int, ...], tuple[int, ...], int]:
+        ids: list[int] = []
+        ends: list[int] = []
+        for match in self.pattern.finditer(unit):
+            piece, first = match[0], match.start()
+            tokens = [t.id for t in self._tokens(piece)]
+            ids += tokens
+            if piece.isascii():
+                at = first
+                for i in tokens:
+                    ends += (at, at + len(self.bytes_of[i]))
+                    at = ends[-1]
+            else:
+                of = [k for k, c in enumerate(piece, first) for _ in c.encode()]
+                start = 0
+                for i in tokens:
+                    end = start + len(self.bytes_of[i])
+                    ends += (of[start], of[end - 1] + 1)
+                    start = end
+        return ",".join(map(str, ids)), tuple(ids), tuple(ends), len(unit)
 
     def _tokens(self, piece: str) -> list:
         """The library's tokens of one match, over the characters that stand for its bytes."""
@@ -132,23 +149,28 @@ class ByteBPE:
         return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [list(map(int, ids.split(","))) if ids else [] for ids, _ in self.encode_and_decode(texts)]
+        return [self.ids(self._units(t)) for t in texts]
 
-    def encode_and_decode(self, texts: list[str]) -> list[tuple[str, bytes]]:
-        """Each text's ids in decimal, joined by commas, and the bytes that they decode to."""
-        return [(",".join([d for d, _ in units if d]), b"".join([raw for _, raw in units])) for units in self._units(texts)]
+    @staticmethod
+    def ids(units: list[tuple]) -> list[int]:
+        return list(itertools.chain.from_iterable([u[1] for u in units]))
+
+    @staticmethod
+    def decimal(units: list[tuple]) -> str:
+        """The ids, joined by commas."""
+        return ",".join([u[0] for u in units if u[0]])
+
+    @staticmethod
+    def spans(units: list[tuple]) -> np.ndarray:
+        """Start and end of each token of a text."""
+        counts = [len(u[2]) for u in units]
+        flat = np.fromiter(itertools.chain.from_iterable([u[2] for u in units]), dtype=np.int32, count=sum(counts))
+        lengths = np.array([u[3] for u in units], dtype=np.int32)
+        return (flat + np.repeat(np.cumsum(lengths, dtype=np.int32) - lengths, counts)).reshape(-1, 2)
 
     def offsets(self, text: str) -> list[tuple[int, int]]:
         """Code point offsets of each token of text; tokens that split a character share it."""
-        found = []
-        for match in self.pattern.finditer(text):
-            at = [k for k, c in enumerate(match[0], match.start()) for _ in c.encode()]
-            start = 0
-            for token in self._tokens(match[0]):
-                end = start + len(self.bytes_of[token.id])
-                found.append((at[start], at[end - 1] + 1))
-                start = end
-        return found
+        return list(map(tuple, self.spans(self._units(text)).tolist()))
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -172,21 +194,29 @@ def _shipped(df: DataFrame, path: str):
         return df.sparkSession.sparkContext.broadcast((file.read(), spelled_out(public_tokenizers.PATTERN)))
 
 
+def _lists(parts: list, kind: pa.DataType) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    flat = np.concatenate([np.zeros(0, dtype=np.int32), *(np.asarray(p, dtype=np.int32) for p in parts)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, kind))
+
+
 def encode(docs: DataFrame, keep: list[str] | None = None, path: str = VOCABULARY) -> DataFrame:
-    """keep (doc_id) with token_ids array<int>, n_tokens and decoded_sha256, of the bytes that the ids decode to."""
+    """keep (doc_id) with token_ids, starts and ends (code points) array<int>, n_tokens and decoded_sha256, of the bytes that the ids decode to."""
     ranks = _shipped(docs, path)
 
     def make():
         bpe = _encoder(path, ranks.value)
 
         def of(texts: pa.Array) -> list[pa.Array]:
-            made = bpe.encode_and_decode([x or "" for x in texts.to_pylist()])
-            ids = [list(map(int, x.split(","))) if x else [] for x, _ in made]
-            return [pa.array(ids, pa.list_(pa.int32())), pa.array(list(map(len, ids)), pa.int64()), pa.array([hashlib.sha256(raw).hexdigest() for _, raw in made], pa.string())]
+            units = [bpe._units(x or "") for x in texts.to_pylist()]
+            ids, spans = [bpe.ids(u) for u in units], [bpe.spans(u) for u in units]
+            decoded = [hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids]
+            lists = [_lists(ids, pa.int32()), *(_lists([s[:, k] for s in spans], pa.int32()) for k in (0, 1))]
+            return [*lists, pa.array(list(map(len, ids)), pa.int64()), pa.array(decoded, pa.string())]
 
         return of
 
-    fields = [T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("decoded_sha256", T.StringType())]
+    fields = [T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("token_ids", "starts", "ends")] + [T.StructField("n_tokens", T.LongType()), T.StructField("decoded_sha256", T.StringType())]
     return by_batches(docs, fields, make, keep or ["doc_id"], rows=32)
 
 
@@ -214,10 +244,12 @@ def digests(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
         def of(texts: pa.Array) -> list[pa.Array]:
             counts, ids_sha, text_sha = [], [], []
-            for ids, raw in bpe.encode_and_decode([x or "" for x in texts.to_pylist()]):
-                counts.append(ids.count(",") + 1 if ids else 0)
-                ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
-                text_sha.append(hashlib.sha256(raw).hexdigest())
+            for text in texts.to_pylist():
+                units = bpe._units(text or "")
+                ids = bpe.ids(units)
+                counts.append(len(ids))
+                ids_sha.append(hashlib.sha256(bpe.decimal(units).encode()).hexdigest())
+                text_sha.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
             return [pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
 
         return of

@@ -24,7 +24,6 @@ from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,13 +31,13 @@ from pyspark.sql import types as T
 
 from loomgraph.llm.common import by_batches
 
-#: The training sample: about so many labelled documents of each language, by hash, and a run of so many words of each.
-SAMPLE_DOCS, SAMPLE_WORDS = 1200, 96
+#: The training sample: about so many labelled documents of each language, by hash, with their whole texts.
+SAMPLE_DOCS = 300
 #: Training: words in a sequence, odds of a switch between its segments' words, sequences in a batch, passes, step.
 LENGTH, SWITCH, BATCH, PASSES, STEP = 32, 0.08, 128, 2, 0.15
 LEXICON_LEAST, FEATURE_LEAST = 4, 2
-#: Words whose odds a worker keeps; beyond that they are dropped and computed anew.
-KEPT = 500_000
+#: Characters of words whose odds a worker keeps, about a fifteenth of the bytes they take; beyond that they are dropped and computed anew.
+KEPT = 1 << 21
 BLOCK = 32
 UNKNOWN = "und"
 
@@ -221,10 +220,12 @@ class Labeller:
     def __init__(self, model: Model):
         self.model, self.no, self.known = model, {}, np.ones((1 << 12, max(1, len(model.languages))), dtype=np.float32)
         self.lettered = np.zeros(1 << 12, dtype=bool)
+        self.held = 0
 
     def _learn(self, tokens: list[str]) -> None:
         """Keeps the potentials of tokens that are not known yet."""
         start = len(self.no)
+        self.held += sum(map(len, tokens))
         self.no.update(zip(tokens, range(start, start + len(tokens)), strict=True))
         while len(self.no) > len(self.known):
             self.known = np.concatenate([self.known, np.ones_like(self.known)])
@@ -236,8 +237,9 @@ class Labeller:
         n = len(self.model.languages)
         if not n:
             return [UNKNOWN] * len(texts), [0.0] * len(texts)
-        if len(self.no) > KEPT:
+        if self.held > KEPT:
             self.no.clear()
+            self.held = 0
         each = [(t or "").split() for t in texts]
         lengths = np.array(list(map(len, each)), dtype=np.int64)
         tokens = list(itertools.chain.from_iterable(each))
@@ -265,20 +267,9 @@ def learn(docs: DataFrame, may_learn: Column) -> Model:
     place = F.pmod(F.xxhash64(F.lit(9), "doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)
     share = F.element_at(F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, SAMPLE_DOCS / n))]), F.col("lang"))
 
-    def cut(batches):
-        for batch in batches:
-            runs = []
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                tokens = text.split()
-                start = 0 if len(tokens) <= SAMPLE_WORDS else (int(doc) * 7919) % (len(tokens) - SAMPLE_WORDS)
-                runs.append(" ".join(tokens[start : start + SAMPLE_WORDS]))
-            if runs:
-                yield pd.DataFrame({"doc_id": batch["doc_id"], "run": runs, "lang": batch["lang"]})
-
-    chosen = usable.where(place < share).mapInPandas(cut, "doc_id long, run string, lang string")
     # repeats of one row are drawn together, and count once
-    chosen = chosen.distinct().toPandas().sort_values(["doc_id", "run"], kind="stable")
-    return train([(run.split(), lang) for run, lang in zip(chosen["run"], chosen["lang"], strict=True)])
+    chosen = usable.where(place < share).distinct().toPandas().sort_values(["doc_id", "text"], kind="stable")
+    return train([(text.split(), lang) for text, lang in zip(chosen["text"], chosen["lang"], strict=True)])
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:

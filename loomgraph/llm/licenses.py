@@ -19,9 +19,9 @@ without a license of their own take that of the nearest ancestor directory
 that has one; the root is the directory '' above all paths.
 
 Defined cases: a null or empty text has no license of its own; a null path is
-a file in no directory; equal rows are rows of their own in the result of
-scan(), which has a row for each given row; very long texts are scanned whole;
-no rows give no rows; other columns are ignored.
+a file in no directory; scan() has a row for each given row, and its column row
+may be null or repeated, as files are told by path and text; very long texts are
+scanned whole; no rows give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -230,8 +230,16 @@ def _told(files: DataFrame) -> DataFrame:
     return spdx.unionByName(own).unionByName(names).select("row", "tier", "license", "similarity", (F.col("named") | (2 * F.col("length") >= F.col("n_tokens"))).alias("is_file"))
 
 
+def cued(files: DataFrame) -> DataFrame:
+    """Files (row, path, text) that are named like a licence file or hold a cue, each once."""
+    named, text = F.coalesce(F.col("path").rlike(FILE_NAME), F.lit(False)), F.col("text").cast("string")
+    return files.where(named | F.lower(text).rlike(CUE)).select("row", "path", text.alias("text")).dropDuplicates(["row"])
+
+
 def found_licenses(files: DataFrame, templates=TEMPLATES) -> DataFrame:
-    """Of (row, path, text): row, license, similarity, is_file by what tells most, ties by name."""
+    """Of (row, path, text), row telling path and text: row, license, similarity, is_file by what tells most, ties by name."""
+    # all that follows reads these few texts alone
+    files = written(cued(files))
     stated = own_licenses(files, templates).select("row", F.lit(1).alias("tier"), "license", "similarity", "is_file")
     best = F.min(F.struct("tier", (-F.col("similarity")).alias("less"), "license", (~F.col("is_file")).alias("no_file"))).alias("b")
     return _told(files).unionByName(stated).groupBy("row").agg(best).select("row", F.col("b.license").alias("license"), (-F.col("b.less")).alias("similarity"), (~F.col("b.no_file")).alias("is_file"))
@@ -249,17 +257,18 @@ def ancestors(path: Column) -> Column:
 
 
 def scan(files: DataFrame, templates=TEMPLATES) -> DataFrame:
-    """Of (row, path, text), row unique: row, license, similarity, inherited_license, inherited_from."""
+    """Of (row, path, text): row, license, similarity, inherited_license, inherited_from."""
+    text = F.col("text").cast("string")
+    keyed = files.select(F.xxhash64("path", text).alias("__file"), F.col("row").alias("__row"), "path", text.alias("text"))
     # written, as all that follows reads it: texts are compared once
-    own = written(found_licenses(files, templates))
-    paths = files.select("row", "path")
-    held = paths.join(own, "row", "left")
+    own = written(found_licenses(keyed.select(F.col("__file").alias("row"), "path", "text"), templates)).withColumnRenamed("row", "__file")
+    held = keyed.select("__file", "__row", "path").join(own, "__file", "left")
     found = held.where("is_file").select(directory(F.col("path")).alias("dir"), "path", "license", "similarity").where("dir is not null")
     by_dir = found.groupBy("dir").agg(F.min(F.struct((-F.col("similarity")).alias("less"), "path", "license")).alias("f")).select("dir", F.col("f.license").alias("dir_license"))
-    bare = held.where("license is null").select("row", "path")
+    bare = held.where("license is null").select("path")
     # files of one directory share their ancestors, so directories are looked up, not files
     places = bare.select(directory(F.col("path")).alias("of"), ancestors(F.col("path")).alias("above")).where("of is not null").distinct()
     near = places.select("of", F.explode("above").alias("dir")).join(by_dir, "dir").groupBy("of").agg(F.max(F.struct(F.length("dir").alias("depth"), "dir", "dir_license")).alias("d"))
     near = near.select("of", F.col("d.dir").alias("inherited_from"), F.col("d.dir_license").alias("inherited_license"))
     joined = held.withColumn("of", F.when(F.col("license").isNull(), directory(F.col("path")))).join(near, "of", "left")
-    return joined.select("row", "license", "similarity", "inherited_license", "inherited_from")
+    return joined.select(F.col("__row").alias("row"), "license", "similarity", "inherited_license", "inherited_from")

@@ -1,12 +1,13 @@
 """Mixing sources to target weights, by DataFrame and SQL functions alone.
 
 A source's words, in the order of its documents (by hashed bucket, then id),
-are packed into blocks of BLOCK words. Output slots are drawn: the sources'
-expected numbers of slots lie end to end on a line, and each stretch of length
-one holds one draw at a pseudorandom point of it, so a source's count is a
-multinomial draw whose strata keep it within one of its expectation. Slot j
-goes to output shard j modulo SHARDS, which gives every shard its own counts.
-A source's slots are mapped to its blocks by pseudorandom permutations of the
+are packed into blocks of BLOCK words. A source has as many output slots as its
+target has blocks. Every output shard's counts of the sources are one
+multinomial draw, given these totals: all slots, source after source, are dealt
+to the shards by a pseudorandom permutation, and the slots that a shard gets of
+each source are counted. Plain draws would let a source stray from its target
+by the root of its count. From the counts alone, a source's slots are numbered
+shard by shard and mapped to its blocks by pseudorandom permutations of the
 block numbers (swap-or-not rounds), one for each pass over the source, and the
 blocks are joined by their number.
 
@@ -34,7 +35,10 @@ STEP = 4096
 
 
 def plan_sources(sizes: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Of (source, source_size): source_no, weight, target, blocks, first and last slot on the line."""
+    """Of (source, source_size): source_no, weight, target, blocks, first and last slot on the line.
+
+    One task: its rows are the sources, tens of bytes each, not documents.
+    """
     ordered = Window.orderBy(F.col("source").asc_nulls_last())
     w = F.element_at(F.array(*map(F.lit, WEIGHTS)), F.col("source_no") % len(WEIGHTS) + 1)
     s = sizes.withColumn("source_no", F.row_number().over(ordered) - 1).withColumn("weight", w.cast("long"))
@@ -53,52 +57,37 @@ def plan_sources(sizes: DataFrame, block: int = BLOCK) -> DataFrame:
         .withColumn("target", F.coalesce(F.least(F.col("first_open.unit") * F.col("weight"), (CAP * F.col("source_size")).cast("double")), F.lit(0.0)))
         .withColumn("blocks", F.ceil(F.col("source_size") / F.lit(block)).cast("long"))
         .withColumn("expected", F.when(F.col("source_size") > 0, F.col("target") * F.col("blocks") / F.col("source_size")).otherwise(0.0))
-        .withColumn("high", F.sum("expected").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("low", F.coalesce(F.lag("high").over(ordered), F.lit(0.0)))
+        .withColumn("high", F.round(F.sum("expected").over(ordered.rowsBetween(Window.unboundedPreceding, 0))).cast("long"))
+        .withColumn("first_slot", F.coalesce(F.lag("high").over(ordered), zero))
+        .withColumn("end_slot", F.least(F.col("high"), F.col("first_slot") + CAP * F.col("blocks")))
     )
-
-    def first_draw(point: Column) -> Column:
-        """The first stratum whose draw is not below point."""
-        k = F.floor(point).cast("long")
-        return F.when(_uniform(k) < point - k, k + 1).otherwise(k)
-
-    return s.select(
-        "source", "source_no", "source_size", "weight", "target", "blocks",
-        first_draw(F.col("low")).alias("first_slot"),
-        F.least(first_draw(F.col("high")), first_draw(F.col("low")) + CAP * F.col("blocks")).alias("end_slot"),
-    )
+    return s.select("source", "source_no", "source_size", "weight", "target", "blocks", "first_slot", "end_slot")
 
 
-def _uniform(k: Column) -> Column:
-    return F.pmod(F.xxhash64(F.lit(SEED), k), F.lit(1 << 40)) / float(1 << 40)
+def shard_counts(sources: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """source_no, blocks, output shard, the number of slots drawn for it, and of the source's slots before it."""
+    n = sources.agg(F.coalesce(F.max("end_slot"), F.lit(0)).alias("n")).first()["n"]
+    drawn = _spans(sources.where(F.col("end_slot") > F.col("first_slot")), F.col("first_slot"), F.col("end_slot"), ["source_no", "blocks"])
+    dealt = drawn.select("source_no", "blocks", F.pmod(F.expr(_permuted("slot", f"{n}L", "7")), F.lit(shards)).cast("int").alias("out_shard"))
+    counts = dealt.groupBy("source_no", "blocks", "out_shard").agg(F.count(F.lit(1)).alias("slots"))
+    before = Window.partitionBy("source_no").orderBy("out_shard").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("before", F.coalesce(F.sum("slots").over(before), F.lit(0)))
 
 
-def shard_counts(sources: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """source_no, output shard and the number of slots drawn for it."""
-    upto = lambda c: F.floor((F.col(c) - F.col("out_shard") + F.lit(shards - 1)) / F.lit(shards)).cast("long")
-    return (
-        sources.select("source_no", "first_slot", "end_slot", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("out_shard"))
-        .select("source_no", "out_shard", (upto("end_slot") - upto("first_slot")).alias("slots"))
-    )
+def _spans(rows: DataFrame, start: Column, end: Column, keep: list[str]) -> DataFrame:
+    """keep and slot: a row for each number from start to before end, made STEP at a time by all tasks."""
+    spans = F.explode(F.sequence(start, end - 1, F.lit(STEP)))
+    each = F.explode(F.sequence("__span", F.least(F.col("__span") + STEP, F.col("__end")) - 1))
+    # by number, as these few small rows would otherwise be put into one task
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select(*keep, end.alias("__end"), spans.alias("__span")).repartition(n, *keep, "__span").select(*keep, each.alias("slot"))
 
 
 def slots(sources: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """A row for each output slot: out_shard, source_no, block."""
-    spans = F.explode(F.sequence(F.col("first_slot"), F.col("end_slot") - 1, F.lit(STEP)))
-    each = F.explode(F.sequence("span", F.least(F.col("span") + STEP, F.col("end_slot")) - 1))
-    drawn = (
-        sources.where(F.col("end_slot") > F.col("first_slot"))
-        .select("source_no", "blocks", "first_slot", "end_slot", spans.alias("span"))
-        # by number, as these few small rows would otherwise be put into one task
-        .repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source_no", "span")
-        .select("source_no", "blocks", "first_slot", each.alias("slot"))
-        .withColumn("t", F.col("slot") - F.col("first_slot"))
-    )
-    return drawn.select(
-        F.pmod("slot", F.lit(shards)).cast("int").alias("out_shard"),
-        "source_no",
-        F.expr(_permuted("t % blocks", "blocks", "source_no", "floor(t / blocks)")).alias("block"),
-    )
+    """A row for each output slot: out_shard, source_no, block; made from the shards' counts."""
+    counts = shard_counts(sources, shards)
+    numbered = _spans(counts, F.col("before"), F.col("before") + F.col("slots"), ["source_no", "blocks", "out_shard"])
+    return numbered.select("out_shard", "source_no", F.expr(_permuted("slot % blocks", "blocks", "source_no", "floor(slot / blocks)")).alias("block"))
 
 
 def _permuted(x: str, n: str, *key: str) -> str:

@@ -33,8 +33,6 @@ BOILERPLATE = (
 )
 SPACE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
-#: Up to so many repeated windows of a text are looked up one by one; more are found by sorting.
-FEW = 16
 
 
 def _count(text: Column, characters: str) -> Column:
@@ -67,20 +65,17 @@ def base_counts(docs: DataFrame) -> DataFrame:
         F.expr("transform(CASE WHEN size(__words) >= 3 THEN sequence(0, size(__words) - 3) ELSE array() END, i -> xxhash64(__words[i], __words[i + 1], __words[i + 2]))"),
     )
     given = given.withColumn("n_words", F.size("__words").cast("long")).drop("__words")
-    given = given.withColumn("__sorted", F.sort_array("__windows"))
-    given = given.withColumn(
-        "__twice",
-        F.expr("array_distinct(transform(filter(sequence(0, size(__sorted)), i -> i > 0 AND i < size(__sorted) AND __sorted[greatest(i, 1) - 1] = __sorted[least(i, size(__sorted) - 1)]), i -> __sorted[i]))"),
-    ).drop("__sorted")
+    # each window's hash with its place in the low bits, sorted: equal windows stand next to each other
+    given = given.withColumn("__low", F.expr("shiftleft(1L, CAST(ceil(log2(size(__windows) + 1)) AS INT)) - 1"))
+    given = given.withColumn("__sorted", F.expr("sort_array(transform(__windows, (h, i) -> (h & ~__low) | i))"))
     # the places of windows that occur twice or more, ascending
     given = given.withColumn(
         "__places",
-        F.expr(f"""CASE WHEN size(__twice) = 0 THEN array()
-            WHEN size(__twice) <= {FEW} THEN filter(sequence(0, size(__windows) - 1), i -> array_contains(__twice, __windows[i]))
-            ELSE transform(array(sort_array(transform(__windows, (h, i) -> struct(h AS h, i AS i)))), s ->
-                sort_array(transform(filter(sequence(0, size(s) - 1), k ->
-                    (k > 0 AND s[greatest(k, 1) - 1].h = s[k].h) OR (k < size(s) - 1 AND s[least(k + 1, size(s) - 1)].h = s[k].h)), k -> s[k].i)))[0] END"""),
-    ).drop("__windows", "__twice")
+        F.expr("""sort_array(transform(filter(sequence(0, size(__sorted)), k -> k < size(__sorted) AND (
+            __windows[CAST(__sorted[least(k, size(__sorted) - 1)] & __low AS INT)] = __windows[CAST(__sorted[least(k + 1, size(__sorted) - 1)] & __low AS INT)] AND k < size(__sorted) - 1
+            OR k > 0 AND __windows[CAST(__sorted[least(k, size(__sorted) - 1)] & __low AS INT)] = __windows[CAST(__sorted[greatest(k - 1, 0)] & __low AS INT)])),
+            k -> CAST(__sorted[k] & __low AS INT)))"""),
+    ).drop("__windows", "__sorted", "__low")
     repeated = F.expr("aggregate(__places, named_struct('n', 0L, 'end', 0), (a, p) -> named_struct('n', a.n + p + 3 - greatest(a.end, p), 'end', p + 3), a -> a.n)")
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
     return (

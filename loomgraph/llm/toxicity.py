@@ -5,13 +5,18 @@ and signs that stand for letters, invisible and combining characters. i, l and
 1 become one letter. Everything else but letters becomes a space.
 
 The lexicon is learned from labelled rows: entries are word beginnings and
-whole words that toxic documents hold far more often than clean ones, weighted
-by their log odds; a beginning stands for all longer ones that add nothing.
-Phrases of an entry and the next word that clean documents hold and toxic ones
-hardly do are exceptions: they match as longer patterns and take the entry's
-weight back, as do the fixed phrases of EXCEPTIONS. A text's weight is
-normalised by the logarithm of its length, and a logistic curve fitted on the
-same rows gives the score.
+whole words that toxic documents hold so much more often than clean ones that
+chance can't be the reason, though many beginnings are tried, and the frequent
+whole words with such a beginning. A word has the weights of all entries that
+it begins with or is. They are fitted together, by logistic regression with a
+ridge: a beginning that clean documents hold as well counts, but little, and a
+longer entry has only what it tells beyond the shorter one, which may be less
+than nothing. Phrases of an entry and the next word that clean documents hold
+and toxic ones hardly do are exceptions: they match as longer patterns and take
+the first word's weight back, as do the fixed phrases of EXCEPTIONS. Each
+different word of a text counts once, so repeated lines add nothing; the sum is
+normalised by a root of the text's length, and the logistic curve of the
+fit gives the score.
 
 Defined cases: a null or empty text, or one without letters, has weight 0 and
 the score of such a text; very long texts are folded and matched whole; equal
@@ -22,7 +27,6 @@ kinds every score is 0; other columns are ignored, or kept if asked for.
 from __future__ import annotations
 
 import math
-import sys
 import unicodedata
 from collections import Counter
 from dataclasses import dataclass, field
@@ -35,14 +39,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.llm.common import by_batches
+from loomgraph.llm.common import by_batches, forget, written
 
 #: Labelled documents that the lexicon is learned from: at most about so many of each kind, by hash.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 8000
-#: An entry needs this share of the toxic sample (LEAST_DOCS at least) and these odds; so many entries and exceptions at most.
-LEAST_SHARE, LEAST_DOCS, LEAST_ODDS, ENTRIES, MAX_EXCEPTIONS = 0.01, 3, 12.0, 2000, 2000
-#: It stands after so many different words, as a share of the toxic sample.
-LEAST_CONTEXTS = 0.02
+#: An entry needs this share of the toxic sample, LEAST_DOCS at least. So the sample's size bounds their number.
+LEAST_SHARE, LEAST_DOCS = 0.01, 3
+#: Its odds are at least these, and of all that are tried chance makes about so many entries.
+LEAST_ODDS, BY_CHANCE = 3.0, 1.0
+#: It stands after so many different words, or as many as documents hold it: copies of one document share theirs.
+LEAST_CONTEXTS = 5
+#: Documents with a whole word for which it has a weight beside that of its beginning.
+LEAST_WORD = 5
+#: An exception stands in so many clean documents, and its share of them is so many times that of toxic ones.
+LEAST_CLEAN, HARMLESS = 3, 20.0
+#: Strength of the ridge on weights.
+RIDGE = 0.03
 #: A longer beginning replaces a shorter one if it has this share of its toxic documents.
 SAME = 0.95
 BEGINNINGS = range(3, 9)
@@ -58,27 +70,34 @@ LOOK_ALIKES = (
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "rodeo clown")
 
 
-def _folding() -> dict[int, str | None]:
-    table: dict[int, str | None] = {}
-    for code in range(sys.maxunicode + 1):
+class _Folding(dict):
+    """What each code point folds to, found when it is first met; characters met again and again are few."""
+
+    def __missing__(self, code: int) -> str | None:
         kind = unicodedata.category(chr(code))
+        to: str | None = chr(code)
         if kind in ("Mn", "Me", "Cf"):
-            table[code] = None
+            to = None
         elif kind[0] not in "LM":
-            table[code] = " "
-    pairs = LOOK_ALIKES.split()
-    table |= {ord(p[0]): p[1] for p in pairs}
-    table |= {ord("l"): "i"} | {c: "i" for c, to in table.items() if to == "l"}
-    return table
+            to = " "
+        if len(self) > 1 << 15:
+            self.clear()
+            self.update(_LETTERS)
+        self[code] = to
+        return to
+
 
+def _letters() -> dict[int, str]:
+    table = {ord(p[0]): p[1] for p in LOOK_ALIKES.split()}
+    return table | {ord("l"): "i"} | {c: "i" for c, to in table.items() if to == "l"}
 
-_table: dict[int, str | None] = {}
+
+_LETTERS = _letters()
+_table = _Folding(_LETTERS)
 
 
 def fold(text: str) -> str:
     """Folded text between spaces; words lie between single or repeated spaces."""
-    if not _table:
-        _table.update(_folding())
     if not text.isascii() and not unicodedata.is_normalized("NFKC", text):
         text = unicodedata.normalize("NFKC", text)
     return " " + text.lower().translate(_table) + " "
@@ -95,8 +114,10 @@ class Lexicon:
 
     def automaton(self) -> ahocorasick.Automaton:
         made = ahocorasick.Automaton()
-        for term, weight in [*self.entries.items(), *self.exceptions.items()]:
-            made.add_word(term, weight)
+        for term, weight in self.entries.items():
+            made.add_word(term, (len(term), weight))
+        for phrase in self.exceptions:
+            made.add_word(phrase, (len(phrase), None))
         made.make_automaton()
         return made
 
@@ -106,12 +127,25 @@ class Lexicon:
         return 1 / (1 + np.exp(-np.clip(self.slope * weight + self.level, -50, 50)))
 
 
-def weight_of(folded: str, automaton) -> float:
-    """Matched weight, normalised by length."""
+def _matched(folded: str, automaton) -> dict[str, list[float]]:
+    """For each different word that matches: what the automaton has for the entries that it begins with or is."""
     if not len(automaton):
-        return 0.0
-    total = sum(w for _, w in automaton.iter(folded))
-    return max(total, 0.0) / math.log2(len(folded) + 64) if total else 0.0
+        return {}
+    at: dict[int, list] = {}
+    for end, (length, value) in automaton.iter(folded):
+        at.setdefault(end - length + 1, []).append(value)
+    # an exception takes all weight from the word that it begins with
+    return {folded[start + 1 : folded.index(" ", start + 1)]: x for start, x in at.items() if None not in x}
+
+
+def _scale(folded: str) -> float:
+    """The root of a text's length by which weights are normalised: chance matches grow with the text, but one clear word may stand in a long one."""
+    return 2 * (len(folded) + 64) ** 0.25
+
+
+def weight_of(folded: str, automaton) -> float:
+    """Weight of the different words that match, normalised by length."""
+    return sum(max(sum(x), 0.0) for x in _matched(folded, automaton).values()) / _scale(folded)
 
 
 def _terms(folded: str) -> set[str]:
@@ -120,9 +154,9 @@ def _terms(folded: str) -> set[str]:
 
 
 def _phrases(folded: str, automaton) -> set[str]:
-    """Phrases that begin with a word that an entry matches: it and the next word."""
+    """Words that an entry matches, and phrases of such a word and the next one."""
     words = folded.split()
-    return {f" {a} {b} " for a, b in zip(words, words[1:], strict=False) if next(automaton.iter(f" {a} "), None)}
+    return {f" {a} " for a in set(words) if len(automaton) and next(automaton.iter(f" {a} "), None)} | {f" {a} {b} " for a, b in zip(words, words[1:], strict=False) if len(automaton) and next(automaton.iter(f" {a} "), None)}
 
 
 def _counted(sample: DataFrame, terms) -> DataFrame:
@@ -171,62 +205,77 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column) -> Lexicon:
         return Lexicon()
     share = F.when(F.col("toxic") == 1, SAMPLE_TOXIC / n_toxic).otherwise(SAMPLE_CLEAN / n_clean)
     chosen = usable.where(_unit_hash(F.col("doc_id")) < share)
-    # the sample is bounded by its parameters, so its ids can be broadcast
-    sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic")
-    total = {1: min(n_toxic, SAMPLE_TOXIC), 0: min(n_clean, SAMPLE_CLEAN)}
-
-    ratio = (F.col("toxic") + 0.5) / (F.col("clean") + 0.5) * F.lit((total[0] + 1) / (total[1] + 1))
+    # the sample is bounded by its parameters, so its ids can be broadcast; copies of a row count once
+    sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic").distinct()
+    sample = written(sample)
+    sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = {k: sizes.get(k, 0) for k in (0, 1)}
+
+    # twice the log of the likelihood ratio of the two shares against one share
+    a, b, all_ = F.col("toxic"), F.col("clean"), F.col("toxic") + F.col("clean")
+    part = lambda n, of: F.when(n > 0, n * F.log(n / (all_ * (of / max(total[0] + total[1], 1))))).otherwise(0.0)
+    ratio, odds = 2 * (part(a, total[1]) + part(b, total[0])), (a + 0.5) / (b + 0.5) * F.lit((total[0] + 1) / (total[1] + 1))
     least = max(LEAST_DOCS, LEAST_SHARE * total[1])
-    terms = _counted(sample, lambda: _terms).where((F.col("toxic") >= least) & (ratio >= LEAST_ODDS)).withColumn("odds", ratio)
-    found = {r["term"]: (r["toxic"], r["clean"], math.log(r["odds"])) for r in terms.orderBy(F.col("toxic").desc(), "term").limit(20 * ENTRIES).collect()}
+    tried = written(_counted(sample, lambda: _terms).where(a >= least))
+    # the odds of a ratio by chance fall with the exponential of its half
+    needed = 2 * math.log(max(tried.count(), 1) / BY_CHANCE)
+    found = {r["term"]: (r["toxic"], r["clean"]) for r in tried.where((ratio >= needed) & (odds >= LEAST_ODDS)).collect()}
+    forget(tried)
     # copies of one document share their contexts, so words of theirs do not pass for entries
     varied = _contexts(sample.where("toxic = 1"), set(found))
-    found = {t: x for t, x in found.items() if varied.get(t, 0) >= max(LEAST_DOCS, LEAST_CONTEXTS * total[1])}
-    kept: dict[str, float] = {}
-    for term in sorted(found, key=lambda t: (len(t.rstrip()), t)):
-        above = [t for t in kept if term.startswith(t) or t.startswith(term)]
-        # a longer entry stays only if it is clearer than all shorter ones that it begins with
-        if not above or found[term][2] > max(kept[a] for a in above) + 1.5:
-            longer = [t for t in found if t.startswith(term) and t[-1] != " " and found[t][0] >= SAME * found[term][0]]
-            kept[max(longer, key=len, default=term)] = found[term][2]
-    # a beginning that a clearer entry continues owes its odds to that entry
-    kept = {t: w for t, w in kept.items() if not any(u != t and u.startswith(t) and v > w + 1.5 for u, v in kept.items())}
-    best = dict(sorted(kept.items(), key=lambda x: (-x[1], x[0]))[:ENTRIES])
-    lexicon = Lexicon(best)
+    found = {t: x for t, x in found.items() if varied.get(t, 0) >= min(LEAST_CONTEXTS, x[0])}
+    # a beginning gives way to a longer one, or a whole word, with nearly all its toxic documents
+    kept = [t for t in found if not any(u != t and u.startswith(t) and found[u][0] >= SAME * found[t][0] for u in found)]
+    lexicon = Lexicon(dict.fromkeys(sorted(kept), 1.0))
 
     plain = lexicon.automaton
-    phrases = _counted(sample, lambda: lambda folded, a=plain(): _phrases(folded, a)).where((F.col("clean") >= 3) & (F.col("clean") * (total[1] + 1) > 20 * (F.col("toxic") + 0.2) * (total[0] + 1)))
-    learned = [r["term"] for r in phrases.orderBy(F.col("clean").desc(), "term").limit(MAX_EXCEPTIONS).collect()]
+    beside = [r.asDict() for r in _counted(sample, lambda: lambda folded, m=plain(): _phrases(folded, m)).where(all_ >= LEAST_CLEAN).collect()]
+    lexicon.entries |= {r["term"]: 1.0 for r in beside if r["term"].count(" ") == 2 and r["toxic"] + r["clean"] >= LEAST_WORD}
+    harmless = [r["term"] for r in beside if r["term"].count(" ") == 3 and r["clean"] >= LEAST_CLEAN and r["clean"] * (total[1] + 1) > HARMLESS * (r["toxic"] + 0.2) * (total[0] + 1)]
     automaton = lexicon.automaton()
-    for phrase in dict.fromkeys([*learned, *map(lambda p: f" {fold(p).strip()} ", EXCEPTIONS)]):
+    for phrase in dict.fromkeys([*sorted(harmless), *map(lambda p: f" {fold(p).strip()} ", EXCEPTIONS)]):
         # over the phrase's first word alone: what the second matches still counts
-        taken = sum(w for _, w in automaton.iter(phrase[: phrase.index(" ", 1) + 1]))
-        if taken and phrase not in lexicon.entries:
-            lexicon.exceptions[phrase] = -taken
+        if _matched(phrase[: phrase.index(" ", 1) + 1], automaton):
+            lexicon.exceptions[phrase] = -1.0
+
+    names = sorted(lexicon.entries)
+    numbered = Lexicon({t: float(k) for k, t in enumerate(names)}, lexicon.exceptions)
 
-    def weigh(batches):
-        own = lexicon.automaton()
+    def matches(batches):
+        own = numbered.automaton()
         for batch in batches:
             if len(batch):
-                yield pd.DataFrame({"w": [weight_of(fold(t or ""), own) for t in batch["text"]], "y": batch["toxic"].astype("float64")})
-
-    rows = sample.mapInPandas(weigh, "w double, y double").toPandas()
-    lexicon.slope, lexicon.level = _logistic(rows["w"].to_numpy(), rows["y"].to_numpy())
+                folded = [fold(t or "") for t in batch["text"]]
+                hits = [[int(k) for x in _matched(f, own).values() for k in x] for f in folded]
+                yield pd.DataFrame({"hits": hits, "scale": [_scale(f) for f in folded], "y": batch["toxic"].astype("float64")})
+
+    rows = sample.mapInPandas(matches, "hits array<int>, scale double, y double").toPandas()
+    forget(sample)
+    x = np.zeros((len(rows), len(names)))
+    for k, (hits, scale) in enumerate(zip(rows["hits"], rows["scale"], strict=True)):
+        np.add.at(x[k], np.asarray(hits, dtype=np.int64), 1 / scale)
+    weights, lexicon.level = _fitted(x * UNIT, rows["y"].to_numpy(), RIDGE)
+    lexicon.entries, lexicon.slope = dict(zip(names, (weights * UNIT).tolist(), strict=True)), 1.0
     return lexicon
 
 
-def _logistic(w: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-2) -> tuple[float, float]:
-    """Slope and level by Newton's method, with a small ridge."""
-    if not len(w):
-        return 0.0, -math.inf
-    x, at = np.stack([w, np.ones_like(w)], axis=1), np.zeros(2)
+#: Normalised counts are multiplied by this for the fit, which makes a word of a usual text about one.
+UNIT = 10.0
+
+
+def _fitted(x: np.ndarray, y: np.ndarray, ridge: float, rounds: int = 60) -> tuple[np.ndarray, float]:
+    """Weights and level of a logistic regression by Newton's method, with a ridge on the weights."""
+    if not len(y):
+        return np.zeros(x.shape[1]), -math.inf
+    x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+    at, hold = np.zeros(x.shape[1]), np.diag([*[ridge] * (x.shape[1] - 1), 1e-6])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ at, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(2), x.T @ (y - p) - ridge * at)
-        at += np.clip(step, -5, 5)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + hold, x.T @ (y - p) - hold @ at)
+        at += np.clip(step, -3, 3)
         if np.abs(step).max() < 1e-9:
             break
-    return max(float(at[0]), 0.0), float(at[1])
+    return at[:-1], float(at[-1])
 
 
 def score(docs: DataFrame, lexicon: Lexicon, keep: list[str] | None = None) -> DataFrame:

@@ -40,6 +40,40 @@ def test_sharding_laws(spark, odd_docs, odd_rows, no_docs):
     assert sharding.shard(no_docs).count() == 0
 
 
+def test_groups_stay_whole_unless_they_exceed_a_shard(spark):
+    """Equal texts lie in one shard; a group of a third of all rows is cut, and balance holds all the same."""
+    rng = random.Random(11)
+    rows = [(k, f"text {rng.randrange(120)} " * 6) for k in range(2400)] + [(5000 + k, "hot copy " * 9) for k in range(1200)] + [(7000 + k, f"single {k} " * rng.randrange(1, 9)) for k in range(400)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    shards, load, count = defaultdict(set), Counter(), Counter()
+    hot = zlib.crc32(b"hot copy " * 9)
+    for r in got:
+        shards[r["text_crc32"]].add(r["shard"])
+        load[r["shard"]] += r["size"]
+        count[r["shard"]] += 1
+    assert all(len(s) == 1 for c, s in shards.items() if c != hot) and len(shards[hot]) >= 6
+    assert max(load.values()) <= 1.01 * min(load.values()) and max(count.values()) <= 1.5 * min(count.values())
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no test tables")
+def test_registered_sharding_by_brute_force(spark):
+    """Sizes, checks, slots, law and groups of the query itself."""
+    folder = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()}
+    got = registry.queries()["op8_sharding"](spark, folder).collect()
+    assert {r["doc_id"] for r in got} == set(texts) and len(got) == len(texts)
+    shards, slots, load = defaultdict(set), defaultdict(list), Counter()
+    for r in got:
+        raw = texts[r["doc_id"]].encode()
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(raw) + 1, zlib.crc32(raw), "bytes", None)
+        shards[texts[r["doc_id"]]].add(r["shard"])
+        slots[r["shard"]].append(r["slot"])
+        load[r["shard"]] += r["size"]
+    assert all(len(s) == 1 for s in shards.values())
+    assert set(slots) == set(range(16)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(load.values()) - min(load.values()) <= 0.01 * max(load.values())
+
+
 def test_packing_balances_all_dimensions():
     rng = np.random.default_rng(2)
     vectors = np.stack([rng.integers(1, 100, 500), rng.integers(1, 20, 500), np.ones(500)], axis=1).astype(float)
@@ -109,6 +143,40 @@ def test_slots_are_permutations_and_counts_add_up(spark):
         assert {n // r["blocks"], -(-n // r["blocks"])} >= {uses[b] for b in range(r["blocks"])}
 
 
+def test_taken_words_follow_from_the_slots(spark):
+    """taken by brute force: a source's words in the order of its documents, cut into blocks, each as often as slots have it."""
+    rows, df = corpus(spark, seed=5)
+    df = df.where("doc_id is not null").dropDuplicates(["doc_id"])
+    got = {r["doc_id"]: r for r in mixing.allot(df, buckets=7).collect()}
+    place = {r["doc_id"]: r["b"] for r in df.select("doc_id", mixing.F.pmod(mixing.F.xxhash64("doc_id", mixing.n_words(mixing.F.col("text"))), mixing.F.lit(7)).alias("b")).collect()}
+    of, sizes = {r["doc_id"]: (r["source"], words(r["text"])) for r in df.collect()}, Counter()
+    for s, n in of.values():
+        sizes[s] += n
+    plan = mixing.plan_sources(spark.createDataFrame(list(sizes.items()), "source string, source_size long"))
+    numbers = {r["source"]: r["source_no"] for r in plan.collect()}
+    uses = Counter((r["source_no"], r["block"]) for r in mixing.slots(plan).collect())
+    for source in sizes:
+        at = 0
+        for i in sorted((i for i in of if of[i][0] == source), key=lambda i: (place[i], i)):
+            taken = sum(uses[numbers[source], w // mixing.BLOCK] for w in range(at, at + of[i][1]))
+            assert got[i]["taken"] == taken
+            at += of[i][1]
+
+
+def test_shards_counts_are_draws(spark):
+    """Counts differ between shards as a multinomial draw's do, and add up to the totals."""
+    sizes = spark.createDataFrame([("a", 64 * 3000), ("b", 64 * 3000), ("c", 64 * 3000)], "source string, source_size long")
+    plan = mixing.plan_sources(sizes).cache()
+    counts = mixing.shard_counts(plan).collect()
+    total = {r["source_no"]: r["end_slot"] - r["first_slot"] for r in plan.collect()}
+    n = sum(total.values())
+    for k, t in total.items():
+        own = [r["slots"] for r in counts if r["source_no"] == k]
+        assert sum(own) == t
+        spread = np.var([*own, *[0] * (mixing.SHARDS - len(own))]) / (n / mixing.SHARDS * (t / n) * (1 - t / n))
+        assert 0.5 < spread < 1.7
+
+
 def test_mix_keeps_columns_and_texts(spark):
     rows, df = corpus(spark)
     mixed = mixing.mix(df)

@@ -34,10 +34,9 @@ def test_quality_counts(odd_docs, odd_rows, no_docs):
     assert quality.clean(no_docs).count() == 0
 
 
-@pytest.mark.parametrize("few", [0, 16])
-def test_repeated_windows_either_way(spark, monkeypatch, few):
-    monkeypatch.setattr(quality, "FEW", few)
-    rng = random.Random(few)
+@pytest.mark.parametrize("seed", [0, 16])
+def test_repeated_windows(spark, seed):
+    rng = random.Random(seed)
     rows = [(k, " ".join(rng.choice("abc") for _ in range(rng.randrange(0, 60)))) for k in range(60)]
     got = quality.clean(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r["doc_id"]: r["n_repeat_words"] for r in got.collect()} == {k: base(t)[4] for k, t in rows}
@@ -120,6 +119,14 @@ def test_bpe_keeps_no_more_than_it_may(encoder, reference, monkeypatch):
     assert encoder.encode([text, text]) == [reference.encode_ordinary(text)] * 2
 
 
+def test_bpe_offsets_come_with_the_ids(spark, odd_docs, encoder):
+    for r in bpe.encode(odd_docs, ["doc_id", "text", "score"]).collect():
+        whole = r["text"] or ""
+        assert list(zip(r["starts"], r["ends"])) == encoder.offsets(whole) and len(r["token_ids"]) == r["n_tokens"] == len(r["starts"])
+        for i, a, b in zip(r["token_ids"][:200], r["starts"], r["ends"]):
+            assert whole[a:b].encode().find(encoder.decode([i])) >= 0
+
+
 def test_bpe_digests(spark, odd_docs, odd_rows, no_docs, reference):
     got = Counter(map(tuple, bpe.digests(odd_docs).collect()))
     sha = lambda x: hashlib.sha256(x).hexdigest()
@@ -173,6 +180,40 @@ def test_exceptions_take_weight_back():
     assert toxicity.weight_of(toxicity.fold("TR4SH"), automaton) > 0
 
 
+def test_automaton_matches_as_a_naive_search_does(spark, odd_rows):
+    docs, labels = toxic_corpus(spark, seed=8)
+    lexicon = toxicity.learn(docs, labels, F.lit(True))
+    lexicon.exceptions[" viiebad ta "] = -1.0
+    automaton = lexicon.automaton()
+    texts = [r["text"] for r in docs.limit(200).collect()] + ["vilebad ta ko vilebad so", "VILEBAD ta", *[t for _, t in odd_rows]]
+    for text in texts:
+        folded, words = toxicity.fold(text or ""), {}
+        for at in range(len(folded)):
+            found = [w for e, w in lexicon.entries.items() if folded.startswith(e, at)]
+            if found and not any(folded.startswith(e, at) for e in lexicon.exceptions):
+                words[folded[at + 1 :].split(" ")[0]] = max(sum(found), 0.0)
+        assert toxicity.weight_of(folded, automaton) == pytest.approx(sum(words.values()) / (2 * (len(folded) + 64) ** 0.25))
+
+
+def test_toxicity_of_odd_rows(spark, odd_docs, odd_rows):
+    docs, labels = toxic_corpus(spark)
+    got = toxicity.score(odd_docs, toxicity.learn(docs, labels, F.lit(True))).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(i for i, _ in odd_rows)
+    assert all(0 <= r["toxicity"] < toxicity.THRESHOLD for r in got)
+    assert toxicity.fold("Ａx1\u200bl").split() == ["axii"]
+
+
+def test_copies_of_one_document_make_no_entries(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice(["ta", "ko", "mi", "re", "so", "lu"]) for _ in range(rng.randrange(2, 5)))
+    copied = "alpha bravo charlie delta echo foxtrot " * 3
+    docs = [(k, f"{copied} {word()}" if k < 40 else " ".join([*(word() for _ in range(30)), "vilebad" if k % 4 == 0 else word(), word()])) for k in range(400)]
+    labels = [(k, 1, int(k < 40 or k % 4 == 0)) for k in range(400)]
+    lexicon = toxicity.learn(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), F.lit(True))
+    assert any(e.startswith(" viieba") for e in lexicon.entries)
+    assert not any("aipha bravo chariie deita echo foxtrot".find(e.strip()) >= 0 for e in lexicon.entries)
+
+
 def test_toxicity_without_labels(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     lexicon = toxicity.learn(odd_docs, labels, F.lit(True))
@@ -249,6 +290,16 @@ def test_licenses(spark, no_docs):
     assert licenses.scan(no_docs.selectExpr("doc_id AS row", "source AS path", "text")).count() == 0
 
 
+def test_license_rows_may_repeat_lack_ids_and_be_long(spark):
+    text = "Released under the MIT License."
+    long = "plain words of no license " * 40_000 + "\n// SPDX-License-Identifier: Apache-2.0\n"
+    rows = [(7, "a/LICENSE", text)] * 3 + [(None, "a/x.txt", "plain"), (None, "a/x.txt", "plain"), (None, None, text), (7, "a/y.txt", "other"), (8, "b/long.txt", long), (9, "a/", ""), (9, "", None)]
+    got = licenses.scan(spark.createDataFrame([(*r, 1, "x") for r in rows], "row long, path string, text string, length int, license string"))
+    assert Counter(tuple(r) for r in got.select("row", "license", "inherited_license", "inherited_from").collect()) == Counter(
+        [(7, "MIT", None, None)] * 3 + [(None, None, "MIT", "a")] * 2 + [(None, "MIT", None, None), (7, None, "MIT", "a"), (8, "Apache-2.0", None, None), (9, None, "MIT", "a"), (9, None, None, None)]
+    )
+
+
 def test_real_license_files_and_headers(spark):
     """Full texts, wrapped headers in comments, identifiers and titles; what stands at the root holds for all."""
     texts = dict(licenses._texts())
