@@ -1,8 +1,9 @@
 """Language identification by a linear-chain conditional random field over words.
 
-Every word has features: beginnings and ends of one to three letters, letter
-bigrams and trigrams with its bounds, and itself if the training words hold it
-often. Feature weights and transitions are learned together, by gradient on the
+Every word has features: beginnings and ends of one to three letters, which are
+n-grams with its bounds, its other letter bigrams and trigrams, and itself if
+the training words hold it often. A feature is a 64-bit hash, so that those of
+many words are made and looked up as arrays. Feature weights and transitions are learned together, by gradient on the
 likelihood of word sequences that switch between languages. Forward-backward
 gives each word's odds; a document's odds are their mean over its words with a
 letter, so code-switched text gets the language of most of its words.
@@ -36,7 +37,7 @@ SAMPLE_DOCS = 300
 #: Training: words in a sequence, odds of a switch between its segments' words, sequences in a batch, passes, step.
 LENGTH, SWITCH, BATCH, PASSES, STEP = 32, 0.08, 128, 2, 0.15
 LEXICON_LEAST, FEATURE_LEAST = 4, 2
-#: Characters of words whose odds a worker keeps, about a fifteenth of the bytes they take; beyond that they are dropped and computed anew.
+#: Characters of words whose odds a worker keeps, 20 to 30 bytes for each; beyond that they are dropped and computed anew.
 KEPT = 1 << 21
 BLOCK = 32
 UNKNOWN = "und"
@@ -55,36 +56,64 @@ def plain(token: str) -> str:
     return word[a:b]
 
 
-def features(word: str) -> set[str]:
-    bound = f"<{word}>"
-    found = {bound[i : i + 3] for i in range(len(bound) - 2)}
-    found.update([bound[i : i + 2] for i in range(len(bound) - 1)])
-    found.update(("=" + word, "^" + word[:1], "^" + word[:2], "^" + word[:3], word[-1:] + "$", word[-2:] + "$", word[-3:] + "$"))
-    return found
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, word's place, whether it is a whole word) of all features of words that are not empty."""
+    sizes = np.array([len(w) + 2 for w in words], dtype=np.int64)
+    codes = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    owner, ends = np.repeat(np.arange(len(words)), sizes), np.cumsum(sizes)
+    inside = np.arange(len(codes)) - np.repeat(ends - sizes, sizes)
+    left = np.repeat(sizes, sizes) - inside
+    keys, owners = [], []
+    with np.errstate(over="ignore"):
+        gram = codes
+        for n in (2, 3, 4):
+            gram = gram[:-1] * _ODD + codes[n - 1 :]
+            # of four characters the beginning and the end alone
+            good = np.flatnonzero((left[: len(gram)] >= n) & ((n < 4) | (inside[: len(gram)] == 0) | (left[: len(gram)] == 4)))
+            keys.append(_mixed(gram[good] * _ODD + np.uint64(n)))
+            owners.append(owner[good])
+        whole = np.add.reduceat(_mixed(codes + inside.astype(np.uint64) * _ODD), ends - sizes) if len(words) else np.zeros(0, dtype=np.uint64)
+        keys.append(_mixed(whole * _ODD + np.uint64(1)))
+    owners.append(np.arange(len(words)))
+    is_word = np.zeros(sum(map(len, keys)), dtype=bool)
+    is_word[len(is_word) - len(words) :] = True
+    return np.concatenate(keys), np.concatenate(owners), is_word
 
 
 @dataclass
 class Model:
-    """Languages, each feature's row of weights, and transition weights."""
+    """Languages, sorted features, each one's row of weights, and transition weights."""
 
     languages: list[str] = field(default_factory=list)
-    rows: dict[str, int] = field(default_factory=dict)
+    keys: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.uint64))
     weights: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), dtype=np.float32))
     transitions: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
 
+    def rows(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(row, word's place) of the words' known features."""
+        keys, owner, _ = features(words)
+        if not len(self.keys) or not len(keys):
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        known = self.keys[at] == keys
+        return at[known], owner[known]
+
     def emissions(self, tokens: list[str]) -> np.ndarray:
         """Potentials of each token's labels, the highest of them 1; all 1 for a token without letters."""
-        get, flat, counts = self.rows.get, [], []
-        for token in tokens:
-            word, before = plain(token), len(flat)
-            if word:
-                flat += [r for r in map(get, features(word)) if r is not None]
-            counts.append(len(flat) - before)
-        n = np.array(counts)
+        words = list(map(plain, tokens))
+        some = np.array([k for k, w in enumerate(words) if w], dtype=np.int64)
         total = np.zeros((len(tokens), len(self.languages)), dtype=np.float32)
-        some = np.flatnonzero(n)
-        if len(some):
-            total[some] = np.add.reduceat(self.weights[np.array(flat)], (np.cumsum(n) - n)[some], axis=0)
+        row, owner = self.rows([words[k] for k in some])
+        for k in range(len(self.languages)):
+            total[some, k] = np.bincount(owner, weights=self.weights[row, k], minlength=len(some))
         return np.exp(total - total.max(axis=1, keepdims=True))
 
 
@@ -95,23 +124,24 @@ def train(runs: list[tuple[list[str], str]], seed: int = 11) -> Model:
         return Model()
     no = {lang: k for k, lang in enumerate(languages)}
     counts = Counter(w for tokens, _ in runs for t in tokens if (w := plain(t)))
-    seen: Counter = Counter()
-    for word, n in counts.items():
-        for f in features(word):
-            seen[f] += n
-    rows = {f: k for k, f in enumerate(sorted(f for f, n in seen.items() if n >= (LEXICON_LEAST if f[0] == "=" else FEATURE_LEAST)))}
     words = {w: k for k, w in enumerate(sorted(counts))}
-    lists = [np.array(sorted(rows[f] for f in features(w) if f in rows), dtype=np.int64) for w in words]
-    sizes = np.array([len(x) for x in lists])
+    keys, owner, is_word = features(list(words))
+    every, inverse = np.unique(keys, return_inverse=True)
+    seen = np.bincount(inverse, weights=np.array([counts[w] for w in words], dtype=np.float64)[owner], minlength=len(every))
+    whole = np.zeros(len(every), dtype=bool)
+    whole[inverse[is_word]] = True
+    model = Model(languages, every[seen >= np.where(whole, LEXICON_LEAST, FEATURE_LEAST)])
+    rows, owner = model.rows(list(words))
+    order = np.argsort(owner, kind="stable")
+    flat, sizes = rows[order], np.bincount(owner, minlength=len(words))
     starts = np.concatenate([[0], np.cumsum(sizes)])
-    flat = np.concatenate(lists) if lists else np.zeros(0, dtype=np.int64)
 
     n_lang, rng = len(languages), np.random.default_rng(seed)
     tokens = [np.array([words[w] for t in ts if (w := plain(t))], dtype=np.int64) for ts, _ in runs]
     by_lang = [[x for x, (_, lang) in zip(tokens, runs, strict=True) if no[lang] == k and len(x)] for k in range(n_lang)]
     stream = [np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in by_lang]
     usable = [k for k in range(n_lang) if len(stream[k])]
-    model = Model(languages, rows, np.zeros((len(rows), n_lang)), np.zeros((n_lang, n_lang)))
+    model.weights, model.transitions = np.zeros((len(model.keys), n_lang)), np.zeros((n_lang, n_lang))
     if not usable:
         return model
     squares, squares_t = np.full_like(model.weights, 1e-6), np.full_like(model.transitions, 1e-6)
@@ -154,7 +184,7 @@ def train(runs: list[tuple[list[str], str]], seed: int = 11) -> Model:
         gamma = alpha * beta
         gamma /= gamma.sum(axis=2, keepdims=True)
         error = (np.eye(n_lang)[labels] - gamma).reshape(-1, n_lang)
-        grad = np.stack([np.bincount(at, weights=error[owner, k], minlength=len(rows)) for k in range(n_lang)], axis=1) / BATCH - 1e-5 * model.weights
+        grad = np.stack([np.bincount(at, weights=error[owner, k], minlength=len(model.keys)) for k in range(n_lang)], axis=1) / BATCH - 1e-5 * model.weights
         true = np.zeros_like(step)
         np.add.at(true, (labels[:, :-1].ravel(), labels[:, 1:].ravel()), 1)
         grad_t = (true - pairs) / BATCH - 1e-4 * model.transitions
