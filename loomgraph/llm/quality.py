@@ -68,14 +68,14 @@ def base_counts(docs: DataFrame) -> DataFrame:
     # each window's hash with its place in the low bits, sorted: equal windows stand next to each other
     given = given.withColumn("__low", F.expr("shiftleft(1L, CAST(ceil(log2(size(__windows) + 1)) AS INT)) - 1"))
     given = given.withColumn("__sorted", F.expr("sort_array(transform(__windows, (h, i) -> (h & ~__low) | i))"))
-    # the places of windows that occur twice or more, ascending
+    # neighbours that are equal, the whole hashes too; their places, ascending
     given = given.withColumn(
-        "__places",
-        F.expr("""sort_array(transform(filter(sequence(0, size(__sorted)), k -> k < size(__sorted) AND (
-            __windows[CAST(__sorted[least(k, size(__sorted) - 1)] & __low AS INT)] = __windows[CAST(__sorted[least(k + 1, size(__sorted) - 1)] & __low AS INT)] AND k < size(__sorted) - 1
-            OR k > 0 AND __windows[CAST(__sorted[least(k, size(__sorted) - 1)] & __low AS INT)] = __windows[CAST(__sorted[greatest(k - 1, 0)] & __low AS INT)])),
-            k -> CAST(__sorted[k] & __low AS INT)))"""),
+        "__pairs",
+        F.expr("""filter(zip_with(slice(__sorted, 1, greatest(size(__sorted) - 1, 0)), slice(__sorted, 2, greatest(size(__sorted) - 1, 0)), (a, b) ->
+            CASE WHEN (a ^ b) BETWEEN 0 AND __low AND __windows[CAST(a & __low AS INT)] = __windows[CAST(b & __low AS INT)]
+            THEN array(CAST(a & __low AS INT), CAST(b & __low AS INT)) END), x -> x IS NOT NULL)"""),
     ).drop("__windows", "__sorted", "__low")
+    given = given.withColumn("__places", F.sort_array(F.array_distinct(F.flatten("__pairs")))).drop("__pairs")
     repeated = F.expr("aggregate(__places, named_struct('n', 0L, 'end', 0), (a, p) -> named_struct('n', a.n + p + 3 - greatest(a.end, p), 'end', p + 3), a -> a.n)")
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
     return (
