@@ -279,7 +279,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     # in a node of two pieces both are there once; a piece with itself is a node of one side
     met = met.withColumn("crossed", F.col("piece") != F.col("other")).withColumn("side", (F.col("piece") > F.col("other")).cast("int"))
     blocks = _blocks(met.select("node", "cell", "in_table", "rep", "side", "crossed", "signs"), most_unlike(least))
-    wanted = blocks.select("block", "rep", "side", "crossed", "first.in_table", "first.cell").hint("shuffle_merge").join(reps.select("rep", "n", "dim", "salt", "vector"), "rep")
+    wanted = blocks.select("block", "rep", "side", "crossed", "first.in_table", "first.cell").join(reps.select("rep", "n", "dim", "salt", "vector"), "rep")
     found = written(_compared(wanted, least))
     links = found.where("b is null").groupBy("a").agg(F.sum("n").alias("more"))
     labels = components(found.where("b is not null").select("a", "b"))
