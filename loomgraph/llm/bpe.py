@@ -15,6 +15,7 @@ other columns are ignored, or kept if asked for.
 
 from __future__ import annotations
 
+import array
 import base64
 import hashlib
 import itertools
@@ -28,8 +29,10 @@ from pyspark.sql import types as T
 
 from loomgraph.llm.common import by_batches
 
-#: Characters of words whose encodings a worker keeps, about a fifteenth of the bytes they take; beyond that they are dropped and made anew.
-KEPT = 1 << 21
+#: Characters of words and matches whose encodings a worker keeps, about 40 bytes for each; beyond that they are dropped and made anew.
+KEPT = 3 << 20
+#: Units and matches of more characters are not kept.
+LONG = 64
 #: White space that is not a single space or line feed between other characters, or the mark used to cut.
 SPACED = re.compile(r"[ \n](?:[ \n]|\Z)|^[ \n]|[\t\r\v\f\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\0]")
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -72,16 +75,18 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class ByteBPE:
-    """Encoder and decoder for one vocabulary of ranks."""
+    """Encoder and decoder for one vocabulary of ranks; with_offsets: encodings have each token's offsets."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN, spelled: str | None = None):
+    def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN, spelled: str | None = None, with_offsets: bool = True):
         from tokenizers import models
 
         self.table = byte_table()
         self.separable = pattern == public_tokenizers.PATTERN
         self.pattern = re.compile(spelled or spelled_out(pattern))
         self.characters = dict(enumerate(self.table))
+        self.with_offsets = with_offsets
         self.kept: dict[str, tuple] = {}
+        self.pieces: dict[str, tuple[str, bytes]] = {}
         self.held = 0
         self.back = {c: b for b, c in enumerate(self.table)}
         vocabulary = {"".join(self.table[b] for b in token): rank for token, rank in ranks.items()}
@@ -92,9 +97,13 @@ class ByteBPE:
         self.bytes_of = [b""] * (max(vocabulary.values(), default=-1) + 1)
         for token, rank in vocabulary.items():
             self.bytes_of[rank] = bytes(self.back[c] for c in token)
+        # all tokens' bytes, one after the other, and where each begins
+        self.all_bytes = np.frombuffer(b"".join(self.bytes_of), dtype=np.uint8)
+        self.size = np.array(list(map(len, self.bytes_of)), dtype=np.int64)
+        self.start = np.cumsum(self.size) - self.size
 
     def _units(self, text: str) -> list[tuple]:
-        """A text as units of whole matches: (ids in decimal with commas, ids, offsets of the ids, code points).
+        """A text as units of whole matches: (ids in decimal with commas, ids as bytes, offsets of the ids, code points).
 
         Where single spaces and line feeds alone part a text's words, no match of
         the pattern reaches over them except for the space before a word, so words
@@ -109,39 +118,46 @@ class ByteBPE:
                 made = kept.get(unit)
                 if made is None:
                     made = self._unit(unit)
-                    if len(unit) <= 64:
+                    if len(unit) <= LONG:
                         kept[unit] = made
                         self.held += len(unit)
                 found.append(made)
             if self.held > KEPT:
                 kept.clear()
+                self.pieces.clear()
                 self.held = 0
             return found
 
-    def _unit(self, unit: str) -> tuple[str, tuple[int, ...], tuple[int, ...], int]:
-        ids: list[int] = []
+    def _unit(self, unit: str) -> tuple[str, bytes, tuple[int, ...], int]:
+        matches = self.pattern.findall(unit)
+        if len(matches) == 1:
+            decimal, raw = self._piece(unit)
+        else:
+            found = []
+            for piece in matches:
+                own = self.pieces.get(piece)
+                if own is None:
+                    own = self._piece(piece)
+                    if len(piece) <= LONG:
+                        self.pieces[piece] = own
+                        self.held += len(piece)
+                found.append(own)
+            decimal, raw = ",".join([d for d, _ in found]), b"".join([r for _, r in found])
         ends: list[int] = []
-        for match in self.pattern.finditer(unit):
-            piece, first = match[0], match.start()
-            tokens = [t.id for t in self._tokens(piece)]
-            ids += tokens
-            if piece.isascii():
-                at = first
-                for i in tokens:
-                    ends += (at, at + len(self.bytes_of[i]))
-                    at = ends[-1]
-            else:
-                of = [k for k, c in enumerate(piece, first) for _ in c.encode()]
-                start = 0
-                for i in tokens:
-                    end = start + len(self.bytes_of[i])
-                    ends += (of[start], of[end - 1] + 1)
-                    start = end
-        return ",".join(map(str, ids)), tuple(ids), tuple(ends), len(unit)
-
-    def _tokens(self, piece: str) -> list:
-        """The library's tokens of one match, over the characters that stand for its bytes."""
-        return self.model.tokenize(piece.encode().decode("latin-1").translate(self.characters))
+        if self.with_offsets:
+            # matches follow each other without a gap
+            of = range(len(unit) + 1) if unit.isascii() else [*(k for k, c in enumerate(unit) for _ in c.encode()), len(unit)]
+            start = 0
+            for i in memoryview(raw).cast("i"):
+                end = start + len(self.bytes_of[i])
+                ends += (of[start], of[end - 1] + 1)
+                start = end
+        return decimal, raw, tuple(ends), len(unit)
+
+    def _piece(self, piece: str) -> tuple[str, bytes]:
+        """A match by the library, over the characters that stand for its bytes."""
+        ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.characters))]
+        return ",".join(map(str, ids)), array.array("i", ids).tobytes()
 
     def _cut(self, text: str) -> list[str]:
         if not self.separable or not text or SPACED.search(text):
@@ -149,11 +165,11 @@ class ByteBPE:
         return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [self.ids(self._units(t)) for t in texts]
+        return [self.ids(self._units(t)).tolist() for t in texts]
 
     @staticmethod
-    def ids(units: list[tuple]) -> list[int]:
-        return list(itertools.chain.from_iterable([u[1] for u in units]))
+    def ids(units: list[tuple]) -> np.ndarray:
+        return np.frombuffer(b"".join([u[1] for u in units]), dtype=np.int32)
 
     @staticmethod
     def decimal(units: list[tuple]) -> str:
@@ -173,18 +189,21 @@ class ByteBPE:
         return list(map(tuple, self.spans(self._units(text)).tolist()))
 
     def decode(self, ids) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        ids = np.asarray(ids, dtype=np.int64)
+        size = self.size[ids]
+        at = np.arange(size.sum()) + np.repeat(self.start[ids] - (np.cumsum(size) - size), size)
+        return self.all_bytes[at].tobytes()
 
 
 _made: dict[tuple, ByteBPE] = {}
 
 
-def _encoder(name: str, shipped: tuple[bytes, str]) -> ByteBPE:
+def _encoder(name: str, shipped: tuple[bytes, str], with_offsets: bool = False) -> ByteBPE:
     """One encoder for each worker process and vocabulary."""
     ranks, spelled = shipped
-    key = (name, hashlib.sha256(ranks).digest())
+    key = (name, hashlib.sha256(ranks).digest(), with_offsets)
     if key not in _made:
-        _made[key] = ByteBPE({base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}, spelled=spelled)
+        _made[key] = ByteBPE({base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}, spelled=spelled, with_offsets=with_offsets)
     return _made[key]
 
 
@@ -205,7 +224,7 @@ def encode(docs: DataFrame, keep: list[str] | None = None, path: str = VOCABULAR
     ranks = _shipped(docs, path)
 
     def make():
-        bpe = _encoder(path, ranks.value)
+        bpe = _encoder(path, ranks.value, with_offsets=True)
 
         def of(texts: pa.Array) -> list[pa.Array]:
             units = [bpe._units(x or "") for x in texts.to_pylist()]
