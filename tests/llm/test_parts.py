@@ -248,3 +248,15 @@ def test_run_drops_near_copies_and_keeps_texts(spark, tmp_path, monkeypatch):
     assert len(set(component.values())) < len(component)
     assert Counter(r["doc_id"] for r in outs[2].collect()) == Counter(set(component.values()))
     assert Counter(r["decoded"] for r in corpus_pipeline.bpe.decode(last).collect()) == Counter(r["text"] or "" for r in outs[3].collect())
+
+
+def test_stages_on_odd_and_empty_tables(spark, odd_docs, no_docs, tmp_path):
+    """Null and repeated rows, ties, long texts and columns with clashing names go through every stage; so does an empty table."""
+    spark.createDataFrame([(k, 1, k % 2) for k in range(20)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for given in (odd_docs.withColumn("lang_pred", mixing.F.lit("x")).withColumn("taken", mixing.F.lit(1)), no_docs):
+        current, before = given, {r["text"] for r in given.collect()}
+        for _, stage in corpus_pipeline.STAGES[:4]:
+            current = stage(spark, current, str(tmp_path)).cache()
+            assert current.columns == given.columns and {r["text"] for r in current.collect()} <= before
+        last = corpus_pipeline.STAGES[4][1](spark, current, str(tmp_path))
+        assert last.count() == current.count()
