@@ -88,6 +88,27 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(owners), is_word
 
 
+#: Words whose features are made at once, which bounds the memory that they take.
+AT_ONCE = 8192
+
+
+def _feature_counts(words: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted features of the words, how often each is seen, and whether it is a whole word."""
+    found = []
+    for first in range(0, len(words), AT_ONCE):
+        keys, owner, is_word = features(words[first : first + AT_ONCE])
+        every, at = np.unique(keys, return_inverse=True)
+        whole = np.zeros(len(every), dtype=bool)
+        whole[at[is_word]] = True
+        found.append((every, np.bincount(at, weights=counts[owner + first], minlength=len(every)), whole))
+    if not found:
+        return np.zeros(0, dtype=np.uint64), np.zeros(0), np.zeros(0, dtype=bool)
+    every, at = np.unique(np.concatenate([x[0] for x in found]), return_inverse=True)
+    whole = np.zeros(len(every), dtype=bool)
+    np.logical_or.at(whole, at, np.concatenate([x[2] for x in found]))
+    return every, np.bincount(at, weights=np.concatenate([x[1] for x in found]), minlength=len(every)), whole
+
+
 @dataclass
 class Model:
     """Languages, sorted features, each one's row of weights, and transition weights."""
@@ -99,12 +120,13 @@ class Model:
 
     def rows(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(row, word's place) of the words' known features."""
-        keys, owner, _ = features(words)
-        if not len(self.keys) or not len(keys):
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        known = self.keys[at] == keys
-        return at[known], owner[known]
+        found = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))]
+        for first in range(0, len(words) if len(self.keys) else 0, AT_ONCE):
+            keys, owner, _ = features(words[first : first + AT_ONCE])
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            known = self.keys[at] == keys
+            found.append((at[known], owner[known] + first))
+        return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
 
     def emissions(self, tokens: list[str]) -> np.ndarray:
         """Potentials of each token's labels, the highest of them 1; all 1 for a token without letters."""
@@ -125,11 +147,7 @@ def train(runs: list[tuple[list[str], str]], seed: int = 11) -> Model:
     no = {lang: k for k, lang in enumerate(languages)}
     counts = Counter(w for tokens, _ in runs for t in tokens if (w := plain(t)))
     words = {w: k for k, w in enumerate(sorted(counts))}
-    keys, owner, is_word = features(list(words))
-    every, inverse = np.unique(keys, return_inverse=True)
-    seen = np.bincount(inverse, weights=np.array([counts[w] for w in words], dtype=np.float64)[owner], minlength=len(every))
-    whole = np.zeros(len(every), dtype=bool)
-    whole[inverse[is_word]] = True
+    every, seen, whole = _feature_counts(list(words), np.array([counts[w] for w in words], dtype=np.float64))
     model = Model(languages, every[seen >= np.where(whole, LEXICON_LEAST, FEATURE_LEAST)])
     rows, owner = model.rows(list(words))
     order = np.argsort(owner, kind="stable")
