@@ -20,7 +20,7 @@ LEAST_LANGUAGE = 0.4
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language, and those with none that prevails."""
     model = language.learn(docs, toxicity.remainder(4) != 2)
-    found = language.identify(docs.withColumnsRenamed({c: f"_{c}" for c in docs.columns}).withColumn("text", F.col("_text")), model, [f"_{c}" for c in docs.columns])
+    found = language.identify(docs.withColumnsRenamed({c: f"_{c}" for c in docs.columns}), model, [f"_{c}" for c in docs.columns], "_text")
     kept = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("lang_score") >= LEAST_LANGUAGE))
     return kept.select(*[F.col(f"`_{c}`").alias(c) for c in docs.columns])
 
@@ -28,7 +28,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose toxicity reaches the threshold."""
     lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"), toxicity.remainder(3) != 1)
-    scored = toxicity.score(docs.withColumnsRenamed({c: f"_{c}" for c in docs.columns}).withColumn("text", F.col("_text")), lexicon, [f"_{c}" for c in docs.columns])
+    scored = toxicity.score(docs.withColumnsRenamed({c: f"_{c}" for c in docs.columns}), lexicon, [f"_{c}" for c in docs.columns], "_text")
     return scored.where(F.col("toxicity") < toxicity.THRESHOLD).select(*[F.col(f"`_{c}`").alias(c) for c in docs.columns])
 
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import array
 import base64
+import copy
 import hashlib
 import itertools
 import re
@@ -27,10 +28,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from loomgraph.llm.common import by_batches
+from loomgraph.llm.common import by_batches, trimmed
 
-#: Characters of words and matches whose encodings a worker keeps, about 40 bytes for each; beyond that they are dropped and made anew.
-KEPT = 3 << 20
+#: Characters of words and matches whose encodings a task keeps, about 40 bytes for each; beyond that they are dropped and made anew.
+KEPT = 2 << 20
 #: Units and matches of more characters are not kept.
 LONG = 64
 #: White space that is not a single space or line feed between other characters, or the mark used to cut.
@@ -102,6 +103,12 @@ class ByteBPE:
         self.size = np.array(list(map(len, self.bytes_of)), dtype=np.int64)
         self.start = np.cumsum(self.size) - self.size
 
+    def fresh(self) -> ByteBPE:
+        """The same encoder, with no encodings kept as yet."""
+        own = copy.copy(self)
+        own.kept, own.pieces, own.held = {}, {}, 0
+        return own
+
     def _units(self, text: str) -> list[tuple]:
         """A text as units of whole matches: (ids in decimal with commas, ids as bytes, offsets of the ids, code points).
 
@@ -199,12 +206,12 @@ _made: dict[tuple, ByteBPE] = {}
 
 
 def _encoder(name: str, shipped: tuple[bytes, str], with_offsets: bool = False) -> ByteBPE:
-    """One encoder for each worker process and vocabulary."""
+    """An encoder: one for each worker process and vocabulary, but the encodings that it keeps are a task's own."""
     ranks, spelled = shipped
     key = (name, hashlib.sha256(ranks).digest(), with_offsets)
     if key not in _made:
         _made[key] = ByteBPE({base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}, spelled=spelled, with_offsets=with_offsets)
-    return _made[key]
+    return _made[key].fresh()
 
 
 def _shipped(df: DataFrame, path: str):
@@ -251,7 +258,7 @@ def decode(encoded: DataFrame, keep: list[str] | None = None, path: str = VOCABU
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*keep, "decoded"])
 
     given = encoded.select(*keep, "token_ids")
-    return given.mapInArrow(run, T.StructType([*(given.schema[c] for c in keep), T.StructField("decoded", T.StringType())]))
+    return given.mapInArrow(trimmed(run), T.StructType([*(given.schema[c] for c in keep), T.StructField("decoded", T.StringType())]))
 
 
 def digests(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:

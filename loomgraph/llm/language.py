@@ -37,8 +37,8 @@ SAMPLE_DOCS = 300
 #: Training: words in a sequence, odds of a switch between its segments' words, sequences in a batch, passes, step.
 LENGTH, SWITCH, BATCH, PASSES, STEP = 32, 0.08, 128, 2, 0.15
 LEXICON_LEAST, FEATURE_LEAST = 4, 2
-#: Characters of words whose odds a worker keeps, 20 to 30 bytes for each; beyond that they are dropped and computed anew.
-KEPT = 1 << 21
+#: Characters of words whose odds a task keeps, 20 to 40 bytes for each; beyond that they are dropped and computed anew.
+KEPT = 1 << 20
 BLOCK = 32
 UNKNOWN = "und"
 
@@ -320,8 +320,8 @@ def learn(docs: DataFrame, may_learn: Column) -> Model:
     return train([(text.split(), lang) for text, lang in zip(chosen["text"], chosen["lang"], strict=True)])
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """keep (doc_id), lang_pred and lang_score."""
+def identify(docs: DataFrame, model: Model, keep: list[str] | None = None, text: str = "text") -> DataFrame:
+    """keep (doc_id), lang_pred and lang_score, of the column that text names."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -334,4 +334,4 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
         return of
 
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())]
-    return by_batches(docs, fields, make, keep or ["doc_id"], rows=128)
+    return by_batches(docs, fields, make, keep or ["doc_id"], text, rows=128)

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.llm.common import by_batches, forget, written
+from loomgraph.llm.common import by_batches, forget, trimmed, written
 
 #: Labelled documents that the lexicon is learned from: at most about so many of each kind, by hash.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 8000
@@ -171,7 +171,7 @@ def _counted(sample: DataFrame, terms) -> DataFrame:
         if every:
             yield pd.DataFrame({"term": every, "toxic": [toxic[t] for t in every], "clean": [clean[t] for t in every]})
 
-    parts = sample.select("text", "toxic").mapInPandas(run, "term string, toxic long, clean long")
+    parts = sample.select("text", "toxic").mapInPandas(trimmed(run), "term string, toxic long, clean long")
     return parts.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
@@ -188,7 +188,7 @@ def _contexts(sample: DataFrame, terms: set[str]) -> dict[str, int]:
         if pairs:
             yield pd.DataFrame({"term": [t for t, _ in pairs], "before": [b for _, b in pairs]})
 
-    pairs = sample.select("text").mapInPandas(run, "term string, before string").distinct()
+    pairs = sample.select("text").mapInPandas(trimmed(run), "term string, before string").distinct()
     return {r["term"]: r["n"] for r in pairs.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
@@ -249,7 +249,7 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column) -> Lexicon:
                 hits = [[int(k) for x in _matched(f, own).values() for k in x] for f in folded]
                 yield pd.DataFrame({"hits": hits, "scale": [_scale(f) for f in folded], "y": batch["toxic"].astype("float64")})
 
-    rows = sample.mapInPandas(matches, "hits array<int>, scale double, y double").toPandas()
+    rows = sample.mapInPandas(trimmed(matches), "hits array<int>, scale double, y double").toPandas()
     forget(sample)
     x = np.zeros((len(rows), len(names)))
     for k, (hits, scale) in enumerate(zip(rows["hits"], rows["scale"], strict=True)):
@@ -278,8 +278,8 @@ def _fitted(x: np.ndarray, y: np.ndarray, ridge: float, rounds: int = 60) -> tup
     return at[:-1], float(at[-1])
 
 
-def score(docs: DataFrame, lexicon: Lexicon, keep: list[str] | None = None) -> DataFrame:
-    """keep (doc_id) and toxicity double, 0 to 1."""
+def score(docs: DataFrame, lexicon: Lexicon, keep: list[str] | None = None, text: str = "text") -> DataFrame:
+    """keep (doc_id) and toxicity double, 0 to 1, of the column that text names."""
     shipped = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def make():
@@ -291,7 +291,7 @@ def score(docs: DataFrame, lexicon: Lexicon, keep: list[str] | None = None) -> D
 
         return of
 
-    return by_batches(docs, [T.StructField("toxicity", T.DoubleType())], make, keep or ["doc_id"])
+    return by_batches(docs, [T.StructField("toxicity", T.DoubleType())], make, keep or ["doc_id"], text)
 
 
 def remainder(by: int) -> Column:

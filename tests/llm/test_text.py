@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -119,6 +120,16 @@ def test_bpe_keeps_no_more_than_it_may(encoder, reference, monkeypatch):
     assert encoder.encode([text, text]) == [reference.encode_ordinary(text)] * 2
 
 
+def test_bpe_encodings_end_with_the_task():
+    """The tables are made once, the kept encodings belong to one task."""
+    shipped = Path(bpe.VOCABULARY).read_bytes(), bpe.spelled_out(public_tokenizers.PATTERN)
+    first = bpe._encoder("own", shipped)
+    first.encode(["some words that are kept"])
+    second = bpe._encoder("own", shipped)
+    assert first.kept and first.held and not second.kept and not second.pieces and not second.held
+    assert second.model is first.model and second.encode(["some words"]) == first.encode(["some words"])
+
+
 def test_bpe_offsets_come_with_the_ids(spark, odd_docs, encoder):
     for r in bpe.encode(odd_docs, ["doc_id", "text", "score"]).collect():
         whole = r["text"] or ""
