@@ -165,7 +165,7 @@ def endpoint_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def huffman_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = dictionary.huffman(dictionary.subject_object_counts(triples(spark, sf_dir)))
-    return coded.agg(F.sum(F.col("freq") * F.col("bits")).cast("long").alias("total_bits"), F.count(F.lit(1)).alias("terms"))
+    return coded.agg(F.coalesce(F.sum(F.col("freq") * F.col("bits")), F.lit(0)).cast("long").alias("total_bits"), F.count(F.lit(1)).alias("terms"))
 
 
 #: Factor and modulus of numbers that take one to four bytes.

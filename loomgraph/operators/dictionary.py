@@ -7,7 +7,6 @@ import itertools
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from loomgraph.tables import written
 
@@ -26,8 +25,8 @@ def ranked(counts: DataFrame, partitions: int | None = None) -> DataFrame:
 
     Rows are range-partitioned, sorted and numbered in their partition, once:
     the table is written, as bounds that are sampled anew for a second reading
-    could part the rows otherwise. Partitions then add the rows before them. No
-    window spans all rows.
+    could part the rows otherwise. Partitions then add the rows before them, whose
+    number is counted at once: the result only reads what is written.
     """
     n = partitions or int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("freq").desc(), F.col("term")]
@@ -35,16 +34,15 @@ def ranked(counts: DataFrame, partitions: int | None = None) -> DataFrame:
     placed = written(counts.select("term", "freq").repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
     part, low = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
     # one row for each partition
-    ends = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__size"))
-    before = ends.select("__part", F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    return placed.withColumn("__part", part).join(F.broadcast(before), "__part").select("term", "freq", (F.col("__before") + low).cast("long").alias("code"))
+    sizes = dict(placed.groupBy(part.cast("int").alias("__part")).agg(F.count(F.lit(1)).alias("__size")).collect())
+    before = itertools.accumulate((sizes.get(k, 0) for k in range(max(sizes, default=0))), initial=0)
+    return placed.select("term", "freq", (F.element_at(F.array(*map(F.lit, before)), (part + 1).cast("int")) + low).cast("long").alias("code"))
 
 
 def huffman_codes(counts: list[tuple[str, int]]) -> dict[str, tuple[int, int]]:
     """term -> (code, bits) of a Huffman tree over the counts: a path's bits from the lowest, 0 left, 1 right.
 
-    For dictionaries that fit on the driver; ranked() gives frequent terms small
-    codes at any size. Ties are broken by term, so codes are the same each time.
+    For dictionaries that fit on the driver; huffman() makes codes at any size. Ties are broken by term, so codes are the same each time.
     """
     if not counts:
         return {}
@@ -65,14 +63,70 @@ def huffman_codes(counts: list[tuple[str, int]]) -> dict[str, tuple[int, int]]:
     return codes
 
 
-def huffman(counts: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """(term, freq, code, bits) by Huffman's method; refuses dictionaries of more than `most` terms."""
-    rows = [(r["term"], r["freq"]) for r in counts.limit(most + 1).collect()]
-    if len(rows) > most:
+def huffman_lengths(classes: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(bits, n) from the shortest: n terms have codes of so many bits; classes are (freq, terms that have it).
+
+    Huffman's method on groups of nodes of one weight. Different counts sum up to
+    the statements at most, so there are few classes at any size.
+    """
+    left, made, heap = [n for _, n in classes], [[] for _ in classes], [(freq, k) for k, (freq, _) in enumerate(classes)]
+    heapq.heapify(heap)
+    while heap:
+        freq, k = heapq.heappop(heap)
+        if left[k] > 1:
+            children, n, weight = [(k, 2)], left[k] // 2, 2 * freq
+            left[k] %= 2
+            again = [(freq, k)]
+        elif heap:
+            other, j = heapq.heappop(heap)
+            children, n, weight = [(k, 1), (j, 1)], 1, freq + other
+            left[k], left[j] = 0, left[j] - 1
+            again = [(other, j)]
+        else:
+            break
+        for entry in [*again, (weight, len(made))]:
+            if entry[1] == len(made) or left[entry[1]]:
+                heapq.heappush(heap, entry)
+        left.append(n)
+        made.append(children)
+    # a group's nodes by depth, from the root down: children were made before their parents
+    depths: list[dict[int, int]] = [{} for _ in made]
+    total: dict[int, int] = {}
+    for k in reversed(range(len(made))):
+        if k == len(made) - 1:
+            depths[k] = {0: 1}
+        for child, per in made[k]:
+            for depth, n in depths[k].items():
+                depths[child][depth + 1] = depths[child].get(depth + 1, 0) + per * n
+        if k < len(classes):
+            for depth, n in depths[k].items():
+                total[depth] = total.get(depth, 0) + n
+        depths[k] = {}
+    return sorted(total.items())
+
+
+def huffman(counts: DataFrame, most: int | None = None) -> DataFrame:
+    """(term, freq, code, bits) by Huffman's method, at any size; refuses dictionaries of more than `most` terms if that is given.
+
+    Terms are ranked by falling count, so codes get longer with the rank: the
+    driver sees how many terms have each count and gives spans of ranks their
+    lengths. Codes are canonical; the first bit is the lowest, as in huffman_codes().
+    """
+    terms = ranked(counts)
+    classes = [(r["freq"], r["n"]) for r in terms.groupBy("freq").agg(F.count(F.lit(1)).alias("n")).collect()]
+    if most is not None and sum(n for _, n in classes) > most:
         raise ValueError(f"more than {most} terms; use ranked()")
-    freq = dict(rows)
-    codes = huffman_codes(rows)
-    return counts.sparkSession.createDataFrame([(t, freq[t], c, b) for t, (c, b) in codes.items()], "term string, freq long, code long, bits int")
+    rank, bits, value = F.col("code"), F.lit(None), F.lit(None)
+    spans, begin, code, before = [], 0, 0, 0
+    for length, n in huffman_lengths(classes):
+        code <<= length - before
+        spans.append((begin + n, length, code - begin))
+        begin, code, before = begin + n, code + n, length
+    for end, length, shift in reversed(spans):
+        bits, value = F.when(rank < end, length).otherwise(bits), F.when(rank < end, rank + shift).otherwise(value)
+    coded = terms.select("term", "freq", value.cast("long").alias("__code"), bits.cast("int").alias("bits"))
+    path = F.reverse(F.lpad(F.bin("__code"), F.col("bits"), F.lit("0")))
+    return coded.select("term", "freq", F.when(F.col("bits") == 0, 0).otherwise(F.conv(path, 2, 10).cast("long")).cast("long").alias("code"), "bits")
 
 
 def encode(triples: DataFrame, terms: DataFrame, predicates: DataFrame) -> DataFrame:

@@ -116,6 +116,34 @@ def test_huffman_refuses_large_dictionaries(spark):
         dictionary.huffman(counts, most=1)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.integers(1, 4), st.integers(1, 200)), min_size=1, max_size=60))
+def test_huffman_lengths_cost_as_much_as_the_tree(freqs):
+    terms = [(str(k), n) for k, n in enumerate(freqs)]
+    codes = dictionary.huffman_codes(terms)
+    lengths = [bits for bits, n in dictionary.huffman_lengths(list(Counter(freqs).items())) for _ in range(n)]
+    assert len(lengths) == len(freqs)
+    assert sum(n * bits for n, bits in zip(sorted(freqs, reverse=True), lengths, strict=True)) == sum(n * codes[t][1] for t, n in terms)
+
+
+def test_huffman_codes_of_a_table(spark):
+    freqs = {f"t{k}": 1 + k * k % 37 for k in range(90)}
+    rows = dictionary.huffman(spark.createDataFrame(list(freqs.items()), "term string, freq long")).collect()
+    assert {r["term"]: r["freq"] for r in rows} == freqs
+    codes = dictionary.huffman_codes(list(freqs.items()))
+    assert sum(r["freq"] * r["bits"] for r in rows) == sum(n * codes[t][1] for t, n in freqs.items())
+    paths = ["".join(str(r["code"] >> k & 1) for k in range(r["bits"])) for r in rows]
+    assert not any(i != j and b.startswith(a) for i, a in enumerate(paths) for j, b in enumerate(paths))
+    assert dictionary.huffman(spark.createDataFrame([], "term string, freq long")).count() == 0
+    one = dictionary.huffman(spark.createDataFrame([("only", 3)], "term string, freq long")).first()
+    assert (one["code"], one["bits"]) == (0, 0)
+
+
+def test_huffman_has_no_limit_of_terms(spark):
+    counts = spark.range(1_000_001).select(F.col("id").cast("string").alias("term"), (1 + F.col("id") % 3).alias("freq"))
+    assert dictionary.huffman(counts).agg(F.sum(F.pow(F.lit(2.0), -F.col("bits")))).first()[0] == 1
+
+
 def test_levels_of_an_empty_table(spark):
     empty = spark.createDataFrame([], "s string, p string, o string")
     assert tuple(index.level_sizes(empty).first()) == (0, 0, 0)
