@@ -75,11 +75,23 @@ def line_kinds(lines: DataFrame, graphs: bool = False) -> DataFrame:
 
 
 def parse_lines(lines: DataFrame, graphs: bool = False) -> DataFrame:
-    """Statements of N-Triples lines (graphs: N-Quads) in the column value; comments, blank and malformed lines give none."""
+    """Statements of N-Triples lines (graphs: N-Quads) in the column value; comments, blank and malformed lines give none.
+
+    Lines of IRIs with single blanks between them, as lines() writes them, are cut
+    at their `>`; all others are matched with the whole form.
+    """
     form = _QUAD if graphs else _LINE
+    # rand() keeps the planner from moving conditions below this projection, where each use would cut the line again
+    lines = lines.select("value", F.when(F.floor(F.rand(0)) == 0, F.split("value", ">", 5 if graphs else 4)).alias("__cut"))
+    cut = lambda k: F.get("__cut", F.lit(k))
+    end = cut(3) == " ."
+    if graphs:
+        end = (end & cut(4).isNull()) | (cut(3).startswith(" <") & (cut(4) == " ."))
+    simple = F.coalesce(cut(0).startswith("<") & cut(1).startswith(" <") & cut(2).startswith(" <") & end, F.lit(False))
     kind = lambda c: F.when(c.startswith("<"), "iri").when(c.startswith("_:"), "blank").otherwise("literal")
     plain = lambda c: F.when(c.startswith("<"), _unescaped(F.substr(c, F.lit(2), F.length(c) - 2))).otherwise(c)
-    parts = lines.where(F.col("value").rlike(form)).select(*[F.regexp_extract("value", form, k).alias(c) for k, c in ((1, "s"), (2, "p"), (3, "o"))])
+    matched = lambda k: F.when(simple, F.concat(F.ltrim(cut(k - 1)), F.lit(">"))).otherwise(F.regexp_extract("value", form, k))
+    parts = lines.where(simple | F.col("value").rlike(form)).select(*[matched(k).alias(c) for k, c in ((1, "s"), (2, "p"), (3, "o"))])
     return parts.select(*[plain(F.col(c)).alias(c) for c in "spo"], kind(F.col("s")).alias("s_kind"), kind(F.col("o")).alias("o_kind"))
 
 
@@ -99,8 +111,9 @@ def _unescaped(text: Column) -> Column:
 
 def lines(triples: DataFrame) -> DataFrame:
     """N-Triples lines of statements: column value."""
-    safe = lambda c: F.regexp_replace(F.col(c), r'([<>"{}|^`\\\x00-\x20])', "_")
-    return triples.select(F.format_string("<%s> <%s> <%s> .", *[safe(c) for c in "spo"]).alias("value"))
+    marks = r'[<>"{}|^`\\\x00-\x20]'
+    safe = lambda c: F.coalesce(F.when(F.col(c).rlike(marks), F.regexp_replace(F.col(c), marks, "_")).otherwise(F.col(c)), F.lit("null"))
+    return triples.select(F.concat(F.lit("<"), safe("s"), F.lit("> <"), safe("p"), F.lit("> <"), safe("o"), F.lit("> .")).alias("value"))
 
 
 def write_ntriples(triples: DataFrame, path: str, mode: str = "error") -> None:

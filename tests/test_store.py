@@ -8,6 +8,7 @@ from collections import Counter
 from xml.dom import minidom
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph import __main__ as cli
 from loomgraph.results import to_xml
@@ -58,6 +59,28 @@ def test_ntriples_keeps_statements_of_iris(spark, files):
     assert kinds == {("iri", "iri"): 3, ("iri", "literal"): 4, ("iri", "blank"): 1, ("blank", "iri"): 1}
 
 
+ODD = ["<u:a> <u:p> <u:b> .", "<u:a> <u:p> <u:b>  .", "<u:a><u:p><u:b>.", " <u:a> <u:p> <u:b> .", "<u:a> <u:p> <u:b> . # <x> .", "<u:a> <u:p> <u:b> . x", "<> <> <> .", "<u:a> <u:p> <u:b> <u:g>", "<u:a> u:p <u:b> .",
+       "<u:\\u0041> <u:p> <u:b> .", "<u:a> <u:p> \"<u:b> .", "<u:a> <u:p> \"> <u:b> .\" .", "<u:a> <u:p <u:b> .", "<u:a> <u:p> <u:b> <u:g> .", "<u:a> <u:p> <u:b> <u:g> . # c", "<u:a> <u:p> <u:b> <u:g> <u:h> .", "<u:a> <u:p> <u:b> _:g .", "_:a <u:p> <u:b> .", "", None]
+
+
+@pytest.mark.parametrize("graphs", [False, True])
+def test_cut_lines_as_the_whole_form_matches_them(spark, graphs):
+    import re
+
+    found, form = Counter(), re.compile(rdf._QUAD if graphs else rdf._LINE)
+    for m in filter(None, (form.match(x) for x in ODD if x)):
+        found[tuple(re.sub(r"\\u([0-9A-F]{4})", lambda n: chr(int(n[1], 16)), x[1:-1]) if x.startswith("<") else x for x in m.groups())] += 1
+    assert rows(rdf.parse_lines(spark.createDataFrame([(x,) for x in ODD], "value string"), graphs)) == found
+
+
+def test_lines_are_cut_once(spark):
+    """Conditions on the kinds stay above the projection that cuts a line."""
+    for graphs in (False, True):
+        parsed = rdf.parse_lines(spark.range(3).select(F.format_string("<u:%s> <u:p> <u:o> .", F.col("id").cast("string")).alias("value")), graphs)
+        plan = parsed.where("s_kind = 'iri' AND o_kind = 'iri'").select("s", "p", "o")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("split(") == 1
+
+
 def test_turtle(spark, files):
     got = rows(rdf.read(spark, f"{files}/a.ttl", "turtle"))
     assert got == Counter([("http://e/a", "http://e/p", "http://e/b"), ("http://e/a", "http://e/q", "http://e/c"), ("http://f/x", "http://www.w3.org/1999/02/22-rdf-syntax-ns#type", "http://e/T")])
