@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.tables import parts_for
+
 
 def counted(rows: DataFrame, column: str = "id") -> DataFrame:
     """(id, m) of a bag given row by row."""
@@ -71,9 +73,11 @@ def intersect_rows(a: DataFrame, b: DataFrame) -> DataFrame:
 def union_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     """Union of bags with the larger multiplicity of the two; an empty side changes nothing."""
     columns = a.columns
-    n = a.groupBy(*columns).agg(F.count(F.lit(1)).alias("__m"), F.lit(0).cast("long").alias("__n"))
-    m = b.groupBy(*columns).agg(F.lit(0).cast("long").alias("__m"), F.count(F.lit(1)).alias("__n"))
-    both = n.unionAll(m).groupBy(*columns).agg(F.greatest(F.max("__m"), F.max("__n")).alias("__k"))
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    rows = a.select(*columns, one.alias("__m"), none.alias("__n")).unionAll(b.select(*columns, none.alias("__m"), one.alias("__n")))
+    # dealt before it is counted: counting where rows are read would keep all their values in memory for few that repeat
+    dealt = rows.repartition(parts_for(rows), *columns)
+    both = dealt.groupBy(*columns).agg(F.greatest(F.sum("__m"), F.sum("__n")).alias("__k"))
     return unfolded(both, "__k").select(*columns)
 
 

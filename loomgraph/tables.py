@@ -37,6 +37,19 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Estimated bytes of a partition and the most partitions that parts_for() gives.
+EACH, MOST_PARTITIONS = 8 << 20, 1 << 13
+
+
+def parts_for(df: DataFrame) -> int:
+    """Partitions by the planner's estimate of the size, so that a task's share doesn't grow with the input; about 10 bytes a statement are estimated."""
+    spark = df.sparkSession
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size > 1 << 50:  # nothing is known of the source
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(spark.sparkContext.defaultParallelism, min(MOST_PARTITIONS, -(-size // EACH)))
+
+
 def forget(*frames: DataFrame) -> None:
     """Deletes tables made by written() that nothing will read again."""
     for df in frames:
