@@ -225,7 +225,7 @@ UB = "http://example.org/university#"
 
 
 def posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.posting_lists(triples(spark, sf_dir)).select("p", "o", F.array_join("subjects", ",").alias("subjects"))
+    return index.posting_texts(triples(spark, sf_dir))
 
 
 def nested_index(spark: SparkSession, sf_dir: str) -> DataFrame:
