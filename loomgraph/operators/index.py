@@ -38,7 +38,7 @@ def _parts(triples: DataFrame, by: list[str], spread: list[str], most: int) -> D
     """triples with part: 0 for short lists, a hash of the spread columns for those of more than `most` statements."""
     long = _long(triples, by, most).select(*by, F.ceil(F.col("__n") / most).alias("__parts"))
     part = F.coalesce(F.pmod(F.xxhash64(*spread), F.col("__parts")), F.lit(0).cast("long"))
-    return triples.join(long, by, "left").withColumn("part", part).drop("__parts")
+    return triples.join(F.broadcast(long), by, "left").withColumn("part", part).drop("__parts")
 
 
 def posting_lists(triples: DataFrame, most: int = MOST) -> DataFrame:
