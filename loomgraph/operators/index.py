@@ -10,7 +10,7 @@ from loomgraph.tables import parts_for, written
 
 def ordered(triples: DataFrame) -> DataFrame:
     """All statements in (p, o, s) order."""
-    return triples.orderBy("p", "o", "s")
+    return triples.repartitionByRange(parts_for(triples), "p", "o", "s").sortWithinPartitions("p", "o", "s")
 
 
 def level_sizes(triples: DataFrame) -> DataFrame:

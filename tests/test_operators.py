@@ -100,6 +100,39 @@ def test_long_lists_have_several_parts(spark):
     assert len([r for r in made if r["p"] == "p"]) > 3 and len([r for r in made if r["p"] == "q"]) == 1
 
 
+def test_long_lists_are_one_text(spark):
+    rows = [(f"s{k * 7 % 40}", "p", "o") for k in range(90)] + [("x", "p", f"o{k % 9}") for k in range(50)] + [(None, "q", "o"), ("y", "q", "o"), ("z", "q", None)]
+    got = {(r["p"], r["o"]): r["subjects"] for r in index.posting_texts(spark.createDataFrame(rows, "s string, p string, o string"), most=20).collect()}
+    keys = {(p, o) for _, p, o in rows}
+    assert got == {key: ",".join(sorted(s for s, *rest in rows if tuple(rest) == key and s)) for key in keys}
+    lists = index.posting_lists(spark.createDataFrame(rows, "s string, p string, o string"), most=20).collect()
+    assert max(len(r["subjects"]) for r in lists) <= 20
+
+
+def test_plans_without_skewed_or_growing_tasks(spark):
+    """Long lists are broadcast whatever the threshold, and partitions follow the size, not the session's number."""
+    from loomgraph import tables
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.createDataFrame([("s", "p", "o")], "s string, p string, o string")
+        plan = index.nested(rows)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    wide = spark.range(40_000_000).selectExpr("'s' AS s", "'p' AS p", "concat('o', id % 3) AS o")
+    assert tables.parts_for(wide) > 40
+    assert index.ordered(wide)._jdf.queryExecution().optimizedPlan().toString().count(f", {tables.parts_for(wide)}") == 1
+    union = bags.union_rows(wide, wide)._jdf.queryExecution().executedPlan().toString()
+    assert union.count("Exchange") == 1
+
+
+def test_ordered_statements(spark):
+    rows = [(f"s{k * 7 % 11}", f"p{k % 2}", f"o{k % 5}") for k in range(300)]
+    got = [tuple(r) for r in index.ordered(spark.createDataFrame(rows, "s string, p string, o string")).collect()]
+    assert got == sorted(rows, key=lambda r: (r[1], r[2], r[0]))
+
+
 def test_huffman_is_prefix_free_and_optimal():
     codes = dictionary.huffman_codes([("a", 5), ("b", 9), ("c", 12), ("d", 13), ("e", 16), ("f", 45)])
     assert sum(n * codes[t][1] for t, n in [("a", 5), ("b", 9), ("c", 12), ("d", 13), ("e", 16), ("f", 45)]) == 224
