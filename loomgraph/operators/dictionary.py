@@ -8,7 +8,7 @@ import itertools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.tables import written
+from loomgraph.tables import parts_for, written
 
 
 def subject_object_counts(triples: DataFrame) -> DataFrame:
@@ -129,12 +129,53 @@ def huffman(counts: DataFrame, most: int | None = None) -> DataFrame:
     return coded.select("term", "freq", F.when(F.col("bits") == 0, 0).otherwise(F.conv(path, 2, 10).cast("long")).cast("long").alias("code"), "bits")
 
 
+#: Codes below this are of the most frequent terms, which are broadcast; so are predicates, if there are no more.
+HOT = 1 << 17
+
+
+def _few(predicates: DataFrame) -> DataFrame:
+    return F.broadcast(predicates) if predicates.limit(HOT + 1).count() <= HOT else predicates
+
+
+def _looked_up(rows: DataFrame, terms: DataFrame, column: str, given: str, wanted: str, n: int, split: bool = False) -> DataFrame:
+    """rows with the column's values, one column of the dictionary, replaced by the other; rows without one go.
+
+    Rows meet their part of the dictionary in n partitions and are not sorted.
+    With split, those of the most frequent terms meet a broadcast part of it and
+    are not sent around; rows are then read twice.
+    """
+    rest = [c for c in rows.columns if c != column]
+    pairs = lambda of: of.select(F.col(given).alias(column), F.col(wanted).alias("__to"))
+    met = lambda some, known: some.repartition(n, column).join(pairs(known).hint("shuffle_hash"), column)
+    if split:
+        hot = pairs(terms.where(F.col("code") < HOT))
+        if given == "code":
+            near, far = rows.where(F.col(column) < HOT), rows.where(F.col(column) >= HOT)
+        else:
+            near, far = rows, rows.join(F.broadcast(hot.select(column)), column, "left_anti")
+        near = near.join(F.broadcast(hot), column)
+        found = near.unionByName(met(far, terms.where(F.col("code") >= HOT)))
+    else:
+        found = met(rows, terms)
+    return found.select(*rest, F.col("__to").alias(column))
+
+
 def encode(triples: DataFrame, terms: DataFrame, predicates: DataFrame) -> DataFrame:
     """(s, p, o) in codes; statements with unknown terms go."""
-    s = terms.select(F.col("term").alias("s"), F.col("code").alias("sc"))
-    p = predicates.select(F.col("term").alias("p"), F.col("code").alias("pc"))
-    o = terms.select(F.col("term").alias("o"), F.col("code").alias("oc"))
-    return triples.join(p, "p").join(s, "s").join(o, "o").select(F.col("sc").alias("s"), F.col("pc").alias("p"), F.col("oc").alias("o"))
+    n = parts_for(triples)
+    p = _few(predicates).select(F.col("term").alias("p"), F.col("code").alias("pc"))
+    rows = triples.join(p, "p").select("s", F.col("pc").alias("p"), "o")
+    rows = _looked_up(rows, terms, "o", "term", "code", n, split=True)
+    return _looked_up(rows, terms, "s", "term", "code", n).select("s", "p", "o")
+
+
+def decoded(codes: DataFrame, terms: DataFrame, predicates: DataFrame) -> DataFrame:
+    """Coded statements as terms."""
+    n = parts_for(codes)
+    rows = _looked_up(codes, terms, "o", "code", "term", n, split=True)
+    rows = _looked_up(rows, terms, "s", "code", "term", n)
+    p = _few(predicates).select(F.col("code").alias("p"), F.col("term").alias("pt"))
+    return rows.join(p, "p").select("s", F.col("pt").alias("p"), "o")
 
 
 def decode(codes: DataFrame, terms: DataFrame, column: str = "id") -> DataFrame:

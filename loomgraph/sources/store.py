@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from loomgraph.model import CODED, DICTIONARY, PatternNode, TreeQuery
 from loomgraph.operators import bags, dictionary
 from loomgraph.plans import compiler, sparql
-from loomgraph.tables import written
+from loomgraph.tables import parts_for, written
 
 #: With more predicates than this, statements are only range-partitioned: a directory each would be too many.
 MOST_DIRECTORIES = 1000
@@ -39,14 +39,14 @@ class Store:
         given = triples.select("s", "p", "o")
         if dedupe:
             given = given.distinct()
-        terms = written(dictionary.ranked(dictionary.subject_object_counts(given)))
-        predicates = written(dictionary.ranked(dictionary.predicate_counts(given)))
+        terms = dictionary.ranked(dictionary.subject_object_counts(given))
+        predicates = dictionary.ranked(dictionary.predicate_counts(given))
         return cls(written(dictionary.encode(given, terms, predicates)), terms, predicates)
 
     def save(self, path: str, mode: str = "error") -> None:
         self.terms.write.mode(mode).parquet(f"{path}/terms")
         self.predicates.write.mode(mode).parquet(f"{path}/predicates")
-        rows = self.triples.repartitionByRange("p", "o", "s").sortWithinPartitions("p", "o", "s").write.mode(mode)
+        rows = self.triples.repartitionByRange(parts_for(self.triples), "p", "o", "s").sortWithinPartitions("p", "o", "s").write.mode(mode)
         many = self.predicates.count() > MOST_DIRECTORIES
         (rows if many else rows.partitionBy("p")).parquet(f"{path}/triples")
 
@@ -57,10 +57,7 @@ class Store:
 
     def decoded(self) -> DataFrame:
         """The statements as terms."""
-        s = self.terms.select(F.col("code").alias("s"), F.col("term").alias("st"))
-        o = self.terms.select(F.col("code").alias("o"), F.col("term").alias("ot"))
-        p = self.predicates.select(F.col("code").alias("p"), F.col("term").alias("pt"))
-        return self.triples.join(p, "p").join(s, "s").join(o, "o").select(F.col("st").alias("s"), F.col("pt").alias("p"), F.col("ot").alias("o"))
+        return dictionary.decoded(self.triples, self.terms, self.predicates)
 
     def merge(self, other: Store) -> Store:
         """Both stores' statements, each as often as the store that has it more often."""

@@ -133,6 +133,26 @@ def test_store_round_trip_merge_and_answers(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(p" in plan and "EqualTo(o,1)" in plan
 
 
+@pytest.mark.parametrize("hot", [0, 3, 1000])
+def test_codes_of_frequent_and_rare_terms(spark, tmp_path, monkeypatch, hot):
+    """Whatever part of the dictionary is broadcast, and without the planner's own broadcasts."""
+    from loomgraph.operators import dictionary
+
+    monkeypatch.setattr(dictionary, "HOT", hot)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        given = [(f"s{k % 17}", f"p{k % 2}", f"o{k * k % 23}") for k in range(120)] + [("o1", "p0", "s1"), ("o1", "p0", "s1")]
+        store = Store.build(spark.createDataFrame(given, "s string, p string, o string"))
+        terms, predicates = ({r["term"]: r["code"] for r in x.collect()} for x in (store.terms, store.predicates))
+        assert sorted(terms.values()) == list(range(len(terms)))
+        assert rows(store.triples) == Counter((terms[s], predicates[p], terms[o]) for s, p, o in given)
+        store.save(str(tmp_path / "saved"))
+        assert rows(Store.load(spark, str(tmp_path / "saved")).decoded()) == Counter(given)
+        assert hot == 0 or "SortMergeJoin" not in store.decoded()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_endpoint(spark):
     store = Store.build(spark.createDataFrame([("a&<b>", "p", "c")], "s string, p string, o string"))
     server = serve(store, port=0)
